@@ -19,7 +19,9 @@ def parse_publish_time(text: Column) -> Column:
     """Timestamp of a page's time line, read in the session zone; null when it is none."""
     clean = ws_trim(text)
     canonical = F.trim(F.regexp_replace(clean, _TIME, "$1-$2-$3 $4$5"))
-    return F.when(clean.rlike(_TIME), canonical.try_cast("timestamp"))
+    # An offset may only follow full clock times.
+    to_seconds = F.regexp_replace(canonical, r"^(\S+ [0-9]+:[0-9]{2})(Z|[+-]|$)", "$1:00$2")
+    return F.when(clean.rlike(_TIME), to_seconds.try_cast("timestamp"))
 
 
 def utc_iso(ts: Column) -> Column:

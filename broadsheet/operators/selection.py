@@ -19,13 +19,15 @@ def seeded_key(seed: int | str, key: Column) -> Column:
 
 
 def _fetch(archive: DataFrame, picked: DataFrame) -> DataFrame:
-    """Full rows of a few picked keys.
+    """Full rows of a few picked keys of the stored archive.
 
-    On the stored archive only narrow columns were read to pick; the rows themselves come from
-    a second read that the picked days prune.
+    Only narrow columns were read to pick. The rows themselves come from a second read of the
+    days the picks fall on; all other partitions are pruned when the query runs.
     """
-    keys = [c for c in ("id", "url", PARTITION_COLUMN) if c in picked.columns]
-    return archive.join(picked.select(*keys), keys, "left_semi")
+    keys = ["id", "url", PARTITION_COLUMN]
+    days = picked.agg(F.collect_set(PARTITION_COLUMN).alias("days")).scalar()
+    on_days = archive.filter(F.array_contains(days, F.col(PARTITION_COLUMN)))
+    return on_days.join(picked.select(*keys), keys, "left_semi")
 
 
 def _is_stored(archive: DataFrame) -> bool:
