@@ -148,3 +148,108 @@ def split_exact(
         .withColumn("split", F.when(before, "train").otherwise("valid"))
         .drop("_key", "_edge")
     )
+
+
+# Places per chunk when a reader's history is counted rather than listed.
+CHUNK = 4096
+
+
+def random_batch_per_reader(
+    archive: DataFrame,
+    history: DataFrame,
+    now: datetime | Column,
+    seed: int | str,
+    min_age_days: int = 7,
+    n: int = 10,
+) -> DataFrame:
+    """``random_batch_unseen`` for every reader of ``history(reader, id)`` at once.
+
+    All readers share one seeded order, so a batch is the first ``n`` places of it that the
+    reader has not seen, and the k-th of them is place k plus the number of seen places before
+    it. No reader is paired with the whole archive.
+
+    Seen places are counted per chunk of ``CHUNK`` places. Chunks seen in full, and chunks after
+    the n-th unseen place, need no more than their count; only the at most ``n`` others per
+    reader are listed. A reader who has seen most of the archive is spread over many tasks.
+
+    Output: ``reader, pick, id`` with ``pick`` from 1 to ``n``.
+    """
+    if n <= 0:
+        return history.select("reader", F.lit(0).alias("pick"), "id").limit(0)
+    moment = now if isinstance(now, Column) else F.lit(now)
+    cutoff = moment - F.make_dt_interval(F.lit(max(0, min_age_days)))
+    old = archive.filter(F.col("publish_time") <= cutoff).select("id")
+    placed = with_place(old, seed)
+    size = old.agg(F.count("*").alias("n")).scalar()
+
+    seen = (
+        history.select("reader", "id")
+        .distinct()
+        .join(placed, "id")
+        .select("reader", "place", F.floor((F.col("place") - 1) / CHUNK).alias("chunk"))
+    )
+    start = F.col("chunk") * CHUNK
+    earlier = Window.partitionBy("reader").orderBy("chunk")
+    counts = (
+        seen.groupBy("reader", "chunk")
+        .agg(F.count("*").alias("rows"))
+        .withColumn("seen_before", F.sum("rows").over(earlier) - F.col("rows"))
+        .withColumn("unseen_before", start - F.col("seen_before"))
+        .filter(F.col("unseen_before") < n)
+    )
+    full = F.col("rows") == CHUNK
+    whole = counts.filter(full).select("reader", "unseen_before", "rows")
+    inside = Window.partitionBy("reader", "chunk").orderBy("place")
+    listed = (
+        seen.join(counts.filter(~full), ["reader", "chunk"])
+        .withColumn("unseen_before", F.col("place") - F.col("seen_before") - F.row_number().over(inside))
+        .select("reader", "unseen_before", F.lit(1).cast("long").alias("rows"))
+    )
+    # How many seen places stand before the k-th unseen one.
+    before = [
+        F.coalesce(F.sum(F.when(F.col("unseen_before") < k, F.col("rows"))), F.lit(0)).alias(f"b{k}")
+        for k in range(1, n + 1)
+    ]
+    readers = history.select("reader").distinct()
+    shifts = whole.unionByName(listed).groupBy("reader").agg(*before)
+    picks = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("pick"), (F.lit(k) + F.coalesce(f"b{k}", F.lit(0))).alias("place")
+            )
+            for k in range(1, n + 1)
+        ]
+    )
+    # The last pick lies within the archive exactly when the reader has n unseen rows.
+    batches = (
+        readers.join(shifts, "reader", "left")
+        .withColumn("size", size)
+        .filter(F.lit(n) + F.coalesce(f"b{n}", F.lit(0)) <= F.col("size"))
+        .select("reader", F.inline(picks))
+    )
+    return batches.join(placed.select("id", "place"), "place").select("reader", "pick", "id")
+
+
+def with_place(rows: DataFrame, seed: int | str) -> DataFrame:
+    """Add ``place``: the row's number, from 1, in the seeded order of all rows.
+
+    Rows are ranked inside key-prefix buckets of a few rows each; bucket offsets come from
+    counting the prefixes, so no task ranks more than one bucket.
+    """
+    keyed = rows.withColumn("_key", seeded_key(seed, F.col("id")))
+    bucketed = keyed.withColumn("_bucket", F.substring("_key", 1, 4))
+    counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_rows"))
+    offsets = counts.select(
+        "_bucket",
+        (F.sum("_rows").over(Window.partitionBy().orderBy("_bucket")) - F.col("_rows")).alias(
+            "_offset"
+        ),
+    )
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", "id"))
+    # At most 16**4 offsets.
+    return (
+        bucketed.withColumn("_rank", inside)
+        .join(F.broadcast(offsets), "_bucket")
+        .withColumn("place", F.col("_rank") + F.col("_offset"))
+        .drop("_key", "_bucket", "_rank", "_offset")
+    )

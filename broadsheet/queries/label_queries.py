@@ -107,12 +107,13 @@ def han_latin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'),
                                  lambda w: w <> '') AS words FROM mixed)
 SELECT doc_id, greatest(len(words), 1) AS n,
-       CASE WHEN len(words) = 0 THEN '<UNK>' ELSE array_to_string(words, ' ') END AS tokens
+       md5(CASE WHEN len(words) = 0 THEN '<UNK>' ELSE array_to_string(words, ' ') END) AS tokens
 FROM t""",
 )
 def latin_tokens_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixed_documents(spark, sf_dir).withColumn("words", latin_tokens(F.col("text")))
-    return rows.select("doc_id", F.size("words").alias("n"), F.array_join("words", " ").alias("tokens"))
+    joined = F.md5(F.array_join("words", " "))
+    return rows.select("doc_id", F.size("words").alias("n"), joined.alias("tokens"))
 
 
 @query(
@@ -127,12 +128,13 @@ t AS (
   FROM mixed
 )
 SELECT doc_id, greatest(len(words), 1) AS n,
-       CASE WHEN len(words) = 0 THEN '<UNK>' ELSE array_to_string(words, ' ') END AS tokens
+       md5(CASE WHEN len(words) = 0 THEN '<UNK>' ELSE array_to_string(words, ' ') END) AS tokens
 FROM t""",
 )
 def han_tokens_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixed_documents(spark, sf_dir).withColumn("words", han_tokens(F.col("text")))
-    return rows.select("doc_id", F.size("words").alias("n"), F.array_join("words", " ").alias("tokens"))
+    joined = F.md5(F.array_join("words", " "))
+    return rows.select("doc_id", F.size("words").alias("n"), joined.alias("tokens"))
 
 
 @query("short_hash", "SELECT doc_id, upper(left(sha256(text), 12)) AS hash FROM documents")

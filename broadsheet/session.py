@@ -25,6 +25,7 @@ def local_session(cores: int | str = 8, app: str = "broadsheet", **conf: str) ->
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.shuffle.partitions": str(cores),
         "spark.driver.memory": "12g",
+        "spark.driver.host": "127.0.0.1",
         "spark.driver.bindAddress": "127.0.0.1",
         **conf,
     }
