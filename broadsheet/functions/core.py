@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from broadsheet.fixed import NON_WS, WS_CHARS, WS_UNEVEN
 
@@ -23,6 +23,16 @@ def or_empty(items: Column, kind: str) -> Column:
     return F.coalesce(items, F.array().cast(kind))
 
 
+def keep_rows(rows: DataFrame, condition: Column) -> DataFrame:
+    """``filter`` that stays above the columns it looks at.
+
+    A plain filter on a computed column is pushed below it and computes it a second time. For
+    columns as costly as an article's text the rows go through a generator instead.
+    """
+    whole = F.struct(*[F.col(f"`{name}`") for name in rows.columns])
+    return rows.select(F.inline(F.when(condition, F.array(whole))))
+
+
 def ws_trim(text: Column) -> Column:
     """Trim every kind of white space, not just the ASCII blank."""
     return F.btrim(text, F.lit(WS_CHARS))

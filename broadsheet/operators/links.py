@@ -129,12 +129,21 @@ def dedup_across_pages(links: DataFrame, *order: str) -> DataFrame:
     return links.withColumn("_n", F.row_number().over(ranked)).filter("_n = 1").drop("_n")
 
 
-def unknown_urls(rows: DataFrame, archive: DataFrame) -> DataFrame:
+def unknown_urls(
+    rows: DataFrame, archive: DataFrame, urls: DataFrame | None = None
+) -> DataFrame:
     """Rows whose URL is not archived yet; URLs compare with case.
 
     Archived URLs are made distinct first: the partial aggregate removes copies before the
     shuffle, and its partitioning is the one the anti join needs. Pass rows that are already
     one per URL so that no key repeats on either side.
+
+    ``urls`` names the rows' URLs where they can be had without computing the rows. The archive
+    is then cut down to those first: a batch that is small next to the archive is broadcast,
+    and the archive's URL column is read without being shuffled.
     """
-    known = archive.select("url").filter(F.col("url").isNotNull()).distinct()
-    return rows.filter(~is_blank(F.col("url"))).join(known, "url", "left_anti")
+    known = archive.select("url").filter(F.col("url").isNotNull())
+    if urls is not None:
+        known = known.join(urls.select("url"), "url", "left_semi")
+    fresh = rows.filter(~is_blank(F.col("url")))
+    return fresh.join(known.distinct(), "url", "left_anti")

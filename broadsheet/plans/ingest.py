@@ -10,7 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
-from broadsheet.functions.core import is_blank
+from broadsheet.functions.core import is_blank, keep_rows
 from broadsheet.operators.articles import articles
 from broadsheet.operators.classify import TextModel, classify_by_language
 from broadsheet.operators.links import (
@@ -40,9 +40,13 @@ def landed_from_links(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages already at hand for a set of links, titled with the link's text.
 
     The links are one per URL, so no page is repeated; a link without a page keeps its row
-    with no HTML and becomes an article with an error.
+    with no HTML and becomes an article with an error. The links are the side that can be
+    broadcast: HTML is shuffled only when they are too many for that.
     """
-    return links.select("title", "url").join(pages.select("page_id", "url", "html"), "url", "left")
+    wanted = links.select("title", "url")
+    at_hand = pages.select("page_id", "url", "html").join(wanted, "url")
+    missing = wanted.join(pages.select("url").distinct(), "url", "left_anti")
+    return at_hand.unionByName(missing, allowMissingColumns=True)
 
 
 def gate_reasons(rows: DataFrame, archive: DataFrame) -> DataFrame:
@@ -68,8 +72,8 @@ def new_articles(
     Extraction and the empty-text gate run where the page is read, so only article text is
     shuffled, never HTML.
     """
-    found = articles(with_rules(landed, rules)).filter(F.col("text_length") > 0)
-    return unknown_urls(dedup_across_pages(found, "page_id"), archive)
+    found = keep_rows(articles(with_rules(landed, rules)), F.col("text_length") > 0)
+    return unknown_urls(dedup_across_pages(found, "page_id"), archive, landed)
 
 
 def archive_rows(
