@@ -14,18 +14,20 @@ from broadsheet.functions.core import collapse_ws, let, lookup, single_blanks, w
 
 INVISIBLE = (
     r"(?s)<(?:!--.*?(?:-->|\z)"
-    r"|(?i:script)[\s/>].*?(?:</(?i:script)[^>]*>|\z)"
-    r"|(?i:style)[\s/>].*?(?:</(?i:style)[^>]*>|\z))"
+    r"|(?i:script)[\s/>].*?(?:</(?i:script)(?=[\s/>])[^>]*(?:>|\z)|\z)"
+    r"|(?i:style)[\s/>].*?(?:</(?i:style)(?=[\s/>])[^>]*(?:>|\z)|\z))"
 )
-TAG = r"<[/!?]?[a-zA-Z][^>]*>"
+# A tag that is never closed runs to the end of the text.
+TAG = r"<[/!?]?[a-zA-Z][^>]*(?:>|\z)"
 BLOCK_TAGS = (
     "p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|blockquote|pre"
     "|figure|figcaption|hr|dl|dt|dd|nav|aside|main|form"
 )
-BLOCK = rf"</?(?i:{BLOCK_TAGS})(?:[\s/][^>]*)?>"
+BLOCK = rf"</?(?i:{BLOCK_TAGS})(?:[\s/][^>]*)?(?:>|\z)"
+# Stands for a block boundary until the white space of the source is settled.
+_EDGE = "\x01"
 # What stands between a tag's name and its '>': quoted values may hold a '>'.
 TAG_HEAD = r"""^((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>"""
-ANCHOR_TEXT = r"(?is)^(.*?)(?:</a[\s/>]|\z)"
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
@@ -84,8 +86,9 @@ def text_content(html: Column) -> Column:
 
 def visible_text(html: Column) -> Column:
     """Text of a fragment as a reader sees it: block elements start new lines."""
-    lined = strip_tags(F.regexp_replace(single_blanks(html), BLOCK, "\n"))
-    return ws_trim(F.regexp_replace(decode_entities(lined), " *\n[ \n]*", "\n"))
+    marked = strip_tags(F.regexp_replace(html, BLOCK, _EDGE))
+    lined = F.regexp_replace(single_blanks(marked), rf" ?{_EDGE}[ {_EDGE}]*+", "\n")
+    return ws_trim(decode_entities(lined))
 
 
 def _raw_attribute(head: Column, name: str) -> Column:
@@ -105,6 +108,16 @@ def _after_tag_name(html: Column, tag: str) -> Column:
     return _rest(F.split(html, rf"<{either_case}(?=[\s/>])"))
 
 
+def _inner(part: Column, head: Column, tag: str) -> Column:
+    """What follows a tag's head up to its closing tag, or to the end of the part."""
+    tail = F.substr(part, F.length(head) + 2)
+    return F.regexp_extract(tail, rf"(?is)^(.*?)(?:</{tag}[\s/>]|\z)", 1)
+
+
+def _head(part: Column) -> Column:
+    return F.regexp_extract(part, TAG_HEAD, 1)
+
+
 def anchors(html: Column) -> Column:
     """ARRAY<STRUCT<title, href>> of the ``a[href]`` elements, in document order.
 
@@ -112,45 +125,48 @@ def anchors(html: Column) -> Column:
     ``<a`` (anchors do not nest) or at the end of the page.
     """
 
-    def one(part: Column) -> Column:
-        return let(F.regexp_extract(part, TAG_HEAD, 1), lambda head: parsed(part, head))
-
     def parsed(part: Column, head: Column) -> Column:
-        tail = F.substr(part, F.length(head) + 2)
-        inner = F.regexp_extract(tail, ANCHOR_TEXT, 1)
         return F.struct(
-            text_content(inner).alias("title"), attribute(head, "href").alias("href")
+            text_content(_inner(part, head, "a")).alias("title"),
+            attribute(head, "href").alias("href"),
         )
 
-    found = F.transform(_after_tag_name(html, "a"), one)
+    found = F.transform(
+        _after_tag_name(html, "a"), lambda part: let(_head(part), lambda head: parsed(part, head))
+    )
     return F.filter(found, lambda a: (a["title"] != "") & (a["href"] != ""))
 
 
+def texts_of(html: Column, tag: str) -> Column:
+    """ARRAY<STRING> of the one-line texts of all elements of a kind, in document order."""
+    return F.transform(
+        _after_tag_name(html, tag),
+        lambda part: let(_head(part), lambda head: text_content(_inner(part, head, tag))),
+    )
+
+
 def image_sources(html: Column) -> Column:
     """Distinct image addresses, first occurrence first.
 
     Per image the first non-empty of src, data-src, data-original, data-actualsrc.
     """
 
-    def one(part: Column) -> Column:
-        return let(F.regexp_extract(part, TAG_HEAD, 1), source)
-
     def source(head: Column) -> Column:
         names = ["src", "data-src", "data-original", "data-actualsrc"]
         given = F.coalesce(*[F.nullif(_raw_attribute(head, n), F.lit("")) for n in names])
         return decode_entities(given)
 
-    found = F.transform(_after_tag_name(html, "img"), one)
+    found = F.transform(_after_tag_name(html, "img"), lambda part: let(_head(part), source))
     return F.array_distinct(F.filter(found, lambda s: s.isNotNull()))
 
 
 def open_tag(tag: str, css_class: str | None = None) -> str:
     """Pattern of an opening tag, optionally carrying one class."""
     if css_class is None:
-        return rf"(?i)<{tag}(?=[\s/>])[^>]*>"
+        return rf"(?i)<{tag}(?=[\s/>])[^<>]*>"
     return (
-        rf"(?i)<{tag}\s(?:[^>]*[\s\"'])?class\s*=\s*[\"']?(?:[^\"'>]*\s)?"
-        rf"{css_class}(?=[\s\"'>/])[^>]*>"
+        rf"(?i)<{tag}\s(?:[^<>]*[\s\"'])?class\s*=\s*[\"']?(?:[^\"'<>]*\s)?"
+        rf"{css_class}(?=[\s\"'>/])[^<>]*>"
     )
 
 

@@ -10,6 +10,9 @@ from broadsheet.functions.core import collapse_ws, is_blank, let, ws_trim
 
 HAN = "[一-鿿]"
 LATIN = "[A-Za-z]"
+# One token per match: a Han character with its neighbour, one that has none, or a run. Pairs
+# overlap because the match itself takes one character only.
+_HAN_TOKEN = f"(?=({HAN}{{2}}|(?<!{HAN}){HAN}|[a-z0-9]+))(?:{HAN}|[a-z0-9]+)"
 
 
 def normalise_title(title: Column) -> Column:
@@ -17,12 +20,18 @@ def normalise_title(title: Column) -> Column:
     return collapse_ws(F.coalesce(title, F.lit("")))
 
 
+def _count_in(text: Column, letters: str) -> Column:
+    """Characters of a class, counted by taking whole runs of them out."""
+    left = F.char_length(F.regexp_replace(text, f"{letters}+", ""))
+    return F.coalesce(F.char_length(text) - left, F.lit(0))
+
+
 def han_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(HAN)), F.lit(0))
+    return _count_in(text, HAN)
 
 
 def latin_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(LATIN)), F.lit(0))
+    return _count_in(text, LATIN)
 
 
 def han_ratio(text: Column) -> Column:
@@ -69,20 +78,7 @@ def han_tokens(text: Column) -> Column:
     Stands in for a dictionary segmenter: word boundaries are not guessed, every adjacent
     pair is a token.
     """
-    runs = F.regexp_extract_all(
-        F.lower(text), F.lit(f"({HAN}+|[a-z0-9]+)"), F.lit(1)
-    )
-    pairs = F.transform(
-        runs,
-        lambda run: F.when(
-            run.rlike(f"^{HAN}{{2,}}"),
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))),
-                lambda i: F.substring(run, i, F.lit(2)),
-            ),
-        ).otherwise(F.array(run)),
-    )
-    return or_unknown(F.flatten(pairs))
+    return or_unknown(F.regexp_extract_all(F.lower(text), F.lit(_HAN_TOKEN), F.lit(1)))
 
 
 def tokens(text: Column, language: str) -> Column:

@@ -13,7 +13,7 @@ from broadsheet.functions.html import (
     image_sources,
     strip_invisible,
     strip_tags,
-    text_content,
+    texts_of,
     visible_text,
 )
 from broadsheet.functions.text import cut_text, default_text, utf16_length
@@ -26,7 +26,6 @@ from broadsheet.functions.urls import (
 )
 
 NO_RESULT = "No result"
-FIRST_LINK = r"(?is)<a[\s/>][^>]*>(.*?)</a[\s/>]"
 MANIFEST_ARRAY = (
     "array<struct<n:int,src:string,url:string,ext:string,bytes:binary,file_name:string>>"
 )
@@ -34,7 +33,6 @@ MANIFEST_ARRAY = (
 
 def meta_from_spans(meta: Column) -> Column:
     """STRUCT<publish_time, publisher> from the first and third span of a meta block."""
-    spans = F.regexp_extract_all(meta, F.lit(r"(?is)<span(?:\s[^>]*)?>(.*?)</span"), F.lit(1))
 
     def fields(texts: Column) -> Column:
         return F.struct(
@@ -42,7 +40,7 @@ def meta_from_spans(meta: Column) -> Column:
             F.coalesce(F.get(texts, F.lit(2)), F.lit("")).alias("publisher"),
         )
 
-    return let(F.transform(spans, visible_text), fields)
+    return let(texts_of(meta, "span"), fields)
 
 
 def meta_from_info(info: Column) -> Column:
@@ -61,7 +59,7 @@ def meta_from_info(info: Column) -> Column:
 
     return F.struct(
         let(text, fields).alias("publish_time"),
-        text_content(F.regexp_extract(info, FIRST_LINK, 1)).alias("publisher"),
+        F.coalesce(F.get(texts_of(info, "a"), F.lit(0)), F.lit("")).alias("publisher"),
     )
 
 

@@ -164,7 +164,7 @@ def label_rows(rows: DataFrame, strict: bool = False, label: str = "label") -> D
 
 def route(language: Column) -> Column:
     """Which model labels a text: the language's own, none for Unknown."""
-    return F.when(language != UNKNOWN, language)
+    return F.nullif(language, F.lit(UNKNOWN))
 
 
 def classify_by_language(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from broadsheet.fixed import WS_CHARS
+from broadsheet.sources.pages import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,8 +25,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Tables whose rows are long texts: work on them is bound by the processor.
+_TEXT_TABLES = {"pages", "documents"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in _TEXT_TABLES else rows
 
 
 def instant(column: str) -> Column:
@@ -76,10 +82,11 @@ def sql_text_content(html: str) -> str:
 
 def sql_block_text(html: str) -> str:
     """Visible text of a fragment: block tags start lines."""
-    flat = f"regexp_replace({html}, '{WS}+', ' ', 'g')"
-    lined = f"regexp_replace({flat}, '(?i)</?(p|div|br|li|ul|h1|article|footer|nav)(\\s[^>]*)?>', e'\\n', 'g')"
-    plain = sql_decode(sql_strip_tags(lined))
-    return f"trim(regexp_replace({plain}, ' *\\n[ \\n]*', e'\\n', 'g'), {WS_CHARS_SQL})"
+    blocks = "(?i)</?(p|div|br|li|ul|h1|article|footer|nav)(\\s[^>]*)?>"
+    marked = sql_strip_tags(f"regexp_replace({html}, '{blocks}', chr(1), 'g')")
+    flat = f"regexp_replace({marked}, '{WS}+', ' ', 'g')"
+    lined = f"regexp_replace({flat}, ' ?\\x01[ \\x01]*', chr(10), 'g')"
+    return f"trim({sql_decode(lined)}, {WS_CHARS_SQL})"
 
 
 # page_id, i, title, href of every anchor with text and target; double-quoted hrefs.
