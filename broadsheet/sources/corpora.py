@@ -45,13 +45,11 @@ def read_plain_csv(spark: SparkSession, path: str) -> DataFrame:
 
     The second field is the text, the third the label; short lines keep their row with nulls.
     """
-    return spark.read.csv(
-        path,
-        schema="first string, text string, label string",
-        header=True,
-        quote="",
-        nullValue="\x00",  # empty fields are text, only missing ones are null
-    ).select("text", "label")
+    # Read as whole lines: the separator is a code point that no text may hold. The CSV reader
+    # is wanted for the headers it skips, wherever a file is split.
+    lines = spark.read.csv(path, schema="line string", header=True, sep="\uffff", quote="")
+    parts = F.split("line", ",")
+    return lines.select(F.get(parts, F.lit(1)).alias("text"), F.get(parts, F.lit(2)).alias("label"))
 
 
 def corpus_rows(lines: DataFrame) -> DataFrame:
