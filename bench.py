@@ -33,8 +33,6 @@ def main() -> None:
     named = os.environ.get("BENCH_QUERIES", "")
     names = [n for n in named.split(",") if n] or [n for n in QUERIES if n not in LEFT_OUT]
 
-    # The fixture files have one or two row groups, so one task would read a whole table; small
-    # tables are spread over the cores right after the scan by the sources' own partitions.
     spark = local_session(cores, "bench")
     times: dict[str, float] = {}
     for name in names:

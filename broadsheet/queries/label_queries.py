@@ -166,14 +166,17 @@ def _labelled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey,
        CASE WHEN p_partkey % 2 = 0 THEN upper({_SQL_LABELS}[p_partkey % 22 + 1])
             ELSE {_SQL_LABELS}[p_partkey % 22 + 1] END AS label,
-       CASE p_partkey % 22 {_SQL_FLAG} END AS category,
+       CASE p_partkey % 22 {_SQL_FLAG} ELSE -1 END AS category,
        p_partkey % 22 = 21 AS rejected
 FROM part""",
 )
 def label_to_flag_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = label_rows(_labelled_parts(spark, sf_dir))
     return rows.select(
-        "p_partkey", "label", "category", F.col("category").isNull().alias("rejected")
+        "p_partkey",
+        "label",
+        F.coalesce("category", F.lit(-1)).alias("category"),
+        F.col("category").isNull().alias("rejected"),
     )
 
 
