@@ -117,7 +117,7 @@ def train(
             Normalizer(p=1.0, inputCol="counts", outputCol="features"),
         ]
         indexer = StringIndexerModel.from_labels(
-            labels, inputCol="label", outputCol="label_idx", handleInvalid="keep"
+            labels, inputCol="label", outputCol="label_idx"
         )
         ready = indexer.transform(PipelineModel(features).transform(training))
         fitted = LogisticRegression(

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from broadsheet.functions.core import is_blank, let, or_empty
 from broadsheet.functions.html import anchors, strip_invisible
-from broadsheet.functions.text import normalise_title
 from broadsheet.functions.urls import has_prefix, is_feed_noise, is_web_url
 from broadsheet.functions.urls import parse_base, resolve_url
 
@@ -18,7 +17,7 @@ LINK_ARRAY = "array<struct<pos:int,title:string,url:string>>"
 
 
 def anchor_array(html: Column) -> Column:
-    """ARRAY<STRUCT<pos, title, href>> of a page's anchors."""
+    """ARRAY<STRUCT<pos, title, href>> of a page's anchors, titles normalised and not blank."""
     return F.transform(
         anchors(strip_invisible(html)),
         lambda a, i: F.struct(i.alias("pos"), a["title"].alias("title"), a["href"].alias("href")),
@@ -32,15 +31,12 @@ def resolve_array(found: Column, base: Column) -> Column:
             found,
             lambda a: F.struct(
                 a["pos"].alias("pos"),
-                normalise_title(a["title"]).alias("title"),
+                a["title"].alias("title"),
                 resolve_url(a["href"], base).alias("url"),
             ),
         )
 
-    return F.filter(
-        let(base, resolved),
-        lambda link: is_web_url(link["url"]) & ~is_blank(link["title"]) & ~is_blank(link["url"]),
-    )
+    return F.filter(let(base, resolved), lambda link: is_web_url(link["url"]))
 
 
 def site_links(links: Column, prefixes: Column, feed_noise: Column) -> Column:

@@ -85,3 +85,12 @@ def test_majority_is_beaten(spark, sf_dir):
 def test_export_needs_a_root(spark):
     with pytest.raises(ValueError):
         A.export_texts(spark.range(1), "  ")
+
+
+def test_every_text_gets_a_known_label(spark):
+    """Also one without any known token, where only the share of the classes decides."""
+    rows = corpus(spark, WORDS, 10)
+    lopsided = rows.filter((F.col("label") == "tech") | (F.col("id") < 6))
+    model = K.train(lopsided, ENGLISH, 100, max_iter=10)
+    strange = spark.createDataFrame([("",), ("zzz",), ("游戏",)], "text string")
+    assert {r.predicted for r in model.predict(strange).collect()} <= set(model.labels)
