@@ -24,6 +24,7 @@ from broadsheet.operators.corpus import (
     with_tokens,
 )
 from broadsheet.operators.selection import split_exact
+from broadsheet.session import ensure_checkpoint_dir
 
 _META = "meta"
 _VOCAB = "vocab"
@@ -120,6 +121,10 @@ def train(
             labels, inputCol="label", outputCol="label_idx"
         )
         ready = indexer.transform(PipelineModel(features).transform(training))
+        # Every iteration reads these rows again: from the shared folder they survive a lost
+        # executor, and tasks do not carry the plan that made them.
+        ensure_checkpoint_dir(rows.sparkSession)
+        ready = ready.select("features", "label_idx").checkpoint()
         fitted = LogisticRegression(
             featuresCol="features",
             labelCol="label_idx",
