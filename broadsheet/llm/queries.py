@@ -108,7 +108,7 @@ FROM documents d LEFT JOIN done USING (doc_id)
 @_query(_SQL_OP5)
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 13 words that an earlier document has."""
-    found = substrings.repeated(_table(spark, sf_dir, "documents"), window=13)
+    found = substrings.repeated(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -26,9 +26,9 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").split()
 
 
-def digest_of(words: list[bytes]) -> bytes:
-    """128 bits that stand for a sequence of words."""
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+def digest_of(text: bytes | None) -> bytes:
+    """128 bits that stand for a text; Spark's md5 gives the same."""
+    return hashlib.md5(text or b"").digest()
 
 
 def window_anchors(words: list[bytes], window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,57 +47,49 @@ def window_anchors(words: list[bytes], window: int, anchor: int) -> tuple[np.nda
     return groups.view(np.int64), np.arange(len(views)) + views.argmin(axis=1)
 
 
-_PRINTS = "doc_id long, whole binary, short long, n_words long, anchors array<long>, known array<long>"
+_ANCHORS = "doc_id long, short long, anchor long, known boolean"
 
 
-def _prints(batches, window: int, anchor: int):
-    """Per document its digest and anchors. Of equal texts in a batch the first one has anchors.
+def _anchors(batches, window: int, anchor: int):
+    """The distinct anchors of every text with the text's digest, cut to 64 bits. Of equal texts in
+    a batch only the first one has anchors.
 
-    An anchor of several texts in the batch is ``known`` to repeat; two of those texts still
-    name it among their ``anchors``, as witnesses for other batches. So an anchor that many
-    texts have leaves a batch twice at most.
+    An anchor of several texts in the batch is ``known`` to repeat, once for each; two of those
+    texts still name it as witnesses for other batches. So an anchor that many texts have
+    leaves a batch twice at most.
     """
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        texts = batch.column("text").cast(pa.binary())
-        whole, counts, found, owner, seen = [], [], [], [], set()
-        for i, text in enumerate(texts):
-            words = words_of(text.as_py())
-            own = digest_of(words)
-            whole.append(own)
-            counts.append(len(words))
-            if len(words) >= window and own not in seen:
-                seen.add(own)
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        found, owner, short, seen = [], [], np.zeros(len(ids), dtype=np.int64), set()
+        for i, text in enumerate(batch.column("text").cast(pa.binary())):
+            text = text.as_py()
+            whole = digest_of(text)
+            short[i] = int.from_bytes(whole[:8], "little", signed=True)
+            words = words_of(text)
+            if len(words) >= window and whole not in seen:
+                seen.add(whole)
                 groups, places = window_anchors(words, window, anchor)
                 values = np.unique(groups[np.unique(places)])
                 found.append(values)
                 owner.append(np.full(len(values), i, dtype=np.int64))
-        rows = len(ids)
-        values = np.concatenate(found) if found else np.zeros(0, np.int64)
-        owners = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+        if not found:
+            continue
+        values, owners = np.concatenate(found), np.concatenate(owner)
         order = np.lexsort((owners, values))
-        values, owners = values[order], owners[order]
-        new = np.concatenate(([True], values[1:] != values[:-1])) if len(values) else np.zeros(0, bool)
-        end = np.concatenate((new[1:], [True])) if len(values) else new
-        shared = ~(new & end)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, pa.int64()), pa.array(whole, pa.binary()),
-                pa.array(np.array([int.from_bytes(w[:8], "little", signed=True) for w in whole], dtype=np.int64)),
-                pa.array(counts, pa.int64()), _lists(values, owners, new | end, rows), _lists(values, owners, shared, rows),
-            ],
-            ["doc_id", "whole", "short", "n_words", "anchors", "known"],
-        )
-
-
-def _lists(values: np.ndarray, owners: np.ndarray, chosen: np.ndarray, rows: int) -> pa.Array:
-    values, owners = values[chosen], owners[chosen]
-    order = np.argsort(owners, kind="stable")
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(owners, minlength=rows)))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order]))
+        new = np.concatenate(([True], values[order][1:] != values[order][:-1]))
+        end = np.concatenate((new[1:], [True]))
+        known, witness = np.zeros(len(values), bool), np.zeros(len(values), bool)
+        known[order], witness[order] = ~(new & end), new | end
+        for chosen, flag in ((witness, False), (known, True)):
+            rows = np.flatnonzero(chosen)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[owners[rows]]), pa.array(short[owners[rows]]), pa.array(values[rows]),
+                 pa.array(np.full(len(rows), flag))],
+                ["doc_id", "short", "anchor", "known"],
+            )
 
 
-_SEGMENTS = "whole binary, first long, at long, route long, words string"
+_SEGMENTS = "first long, nth int, at long, route long, words string"
 
 
 def _segments(batches, window: int, anchor: int):
@@ -105,12 +97,10 @@ def _segments(batches, window: int, anchor: int):
     for batch in batches:
         rows = []
         for text, entries in zip(batch.column("text").cast(pa.binary()), batch.column("entries").to_pylist()):
-            words = words_of(text.as_py())
-            if len(words) < window:
-                continue
-            whole = digest_of(words)
+            whole = digest_of(text.as_py())
             entry = next((e for e in entries if e["whole"] == whole), None)
-            if entry is None:
+            words = words_of(text.as_py())
+            if entry is None or len(words) < window:
                 continue
             groups, places = window_anchors(words, window, anchor)
             wanted = np.array(sorted(a["anchor"] for a in entry["anchors"]), dtype=np.int64)
@@ -121,18 +111,18 @@ def _segments(batches, window: int, anchor: int):
             for s, e in zip(starts.tolist(), ends.tolist()):
                 value = int(groups[places[s]])
                 if value not in hot:
-                    rows.append((whole, entry["first"], s, value, b" ".join(words[s : e + window])))
+                    rows.append((entry["first"], entry["nth"], s, value, b" ".join(words[s : e + window])))
                     continue
                 for i in range(s, e + 1):
                     part = b" ".join(words[i : i + window])
                     route = int.from_bytes(xxhash.xxh64_digest(part, 7), "big", signed=True)
-                    rows.append((whole, entry["first"], i, route, part))
+                    rows.append((entry["first"], entry["nth"], i, route, part))
         if rows:
             columns = list(zip(*rows))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
             arrays.append(pa.array(columns[4], pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays(arrays, ["whole", "first", "at", "route", "words"])
+            yield pa.RecordBatch.from_arrays(arrays, ["first", "nth", "at", "route", "words"])
 
 
 def shard_minima(segments: list[bytes], documents: np.ndarray, window: int) -> list[np.ndarray]:
@@ -190,10 +180,10 @@ def _cut(batches, window: int, joined: bool):
             words = words_of(text.as_py())
             gone = np.zeros(len(words) + 1, dtype=bool)
             if entries:
-                whole = digest_of(words)
+                whole = digest_of(text.as_py())
                 for entry in entries:
                     if entry["whole"] == whole:
-                        if entry["copy"]:
+                        if entry["copy"] and len(words) >= window:
                             gone[: len(words)] = True
                         steps = np.zeros(len(words) + 1, dtype=np.int64)
                         starts = np.array(entry["starts"] or [], dtype=np.int64)
@@ -229,7 +219,8 @@ def repeated(docs: DataFrame, window: int = WINDOW, joined: bool = True) -> Data
     unless ``joined``. A row with a null ``doc_id`` neither removes nor loses anything. Rows of
     one ``doc_id`` do not remove words from each other. Other columns' names do not matter.
 
-    1. Equal texts are one text of the smallest id; the others lose all words.
+    1. Equal texts are one text of the smallest id; the others lose all words (if they have a
+       window).
     2. Every window has an anchor, a group of words that its content alone chooses. Anchors in
        two different texts are kept; only windows with such an anchor can repeat.
     3. Runs of windows with one kept anchor are segments, made distinct with their smallest
@@ -243,28 +234,29 @@ def repeated(docs: DataFrame, window: int = WINDOW, joined: bool = True) -> Data
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", packed.alias("rest"))
     rows = every.filter(F.col("doc_id").isNotNull())
 
-    prints = written(
-        rows.select("doc_id", "text").mapInArrow(lambda b: _prints(b, window, ANCHOR), _PRINTS), "anchors"
-    ).filter(F.col("n_words") >= window)
-    firsts = written(prints.groupBy("whole").agg(F.min("doc_id").alias("first")), "first-documents")
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    identity = written(rows.select("doc_id", digest.alias("whole")).distinct(), "digests")
+    # A document id usually has one text; ``nth`` tells the texts of one id apart.
+    numbered = F.row_number().over(Window.partitionBy("first").orderBy("whole"))
+    firsts = written(
+        identity.groupBy("whole").agg(F.min("doc_id").alias("first")).withColumn("nth", numbered), "first-documents"
+    )
 
     # Anchors in two different texts. At most two rows per anchor and batch come together.
-    shipped = prints.select("doc_id", "short", F.explode("anchors").alias("anchor"))
-    together = Window.partitionBy("anchor")
-    met = shipped.withColumn("low", F.min("short").over(together)).withColumn("high", F.max("short").over(together))
-    known = prints.select("doc_id", F.explode("known").alias("anchor"))
-    repeating = written(
-        met.filter("low < high").select("doc_id", "anchor").unionByName(known), "repeated-anchors"
-    )
+    anchors = rows.select("doc_id", "text").mapInArrow(lambda b: _anchors(b, window, ANCHOR), _ANCHORS)
+    route = F.when(F.col("known"), F.xxhash64("doc_id", "anchor")).otherwise(F.col("anchor"))
+    together = Window.partitionBy(route)
+    met = anchors.withColumn("low", F.min("short").over(together)).withColumn("high", F.max("short").over(together))
+    repeating = written(met.filter("known OR low < high").select("doc_id", "anchor"), "repeated-anchors")
     hot = repeating.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
     marked = repeating.join(hot, "anchor", "left").select(
         "doc_id", F.struct("anchor", F.coalesce("hot", F.lit(False)).alias("hot")).alias("a")
     )
     of_doc = marked.groupBy("doc_id").agg(F.collect_set("a").alias("anchors"))
-    identity = prints.select("doc_id", "whole").join(firsts, "whole").distinct()
+    known_as = identity.join(firsts, "whole")
     entries = (
-        identity.join(of_doc, "doc_id")
-        .groupBy("doc_id").agg(F.collect_list(F.struct("whole", "first", "anchors")).alias("entries"))
+        known_as.join(of_doc, "doc_id")
+        .groupBy("doc_id").agg(F.collect_list(F.struct("whole", "first", "nth", "anchors")).alias("entries"))
     )
     segments = rows.join(entries, "doc_id").mapInArrow(lambda b: _segments(b, window, ANCHOR), _SEGMENTS)
 
@@ -273,14 +265,18 @@ def repeated(docs: DataFrame, window: int = WINDOW, joined: bool = True) -> Data
         lambda b: _shards(b, window), _MINIMA
     )
     by_words = minima.select("route", F.xxhash64("words").alias("key"), "least")
-    places = segments.select("whole", "first", "at", "route", F.xxhash64("words").alias("key"))
+    places = segments.select("first", "nth", "at", "route", F.xxhash64("words").alias("key"))
     earlier = F.expr("filter(transform(least, (m, i) -> if(m < first, at + i, null)), x -> x is not null)")
     starts = (
-        places.join(by_words, ["route", "key"]).select("whole", earlier.alias("starts")).filter(F.size("starts") > 0)
-        .groupBy("whole").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+        places.join(by_words, ["route", "key"]).select("first", "nth", earlier.alias("starts")).filter(F.size("starts") > 0)
+        .groupBy("first", "nth").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    )
+    copies = known_as.filter("doc_id <> first").select(
+        "doc_id", "whole", F.lit(True).alias("copy"), F.lit(None).cast("array<long>").alias("starts")
+    )
+    parts = firsts.join(starts, ["first", "nth"]).select(
+        F.col("first").alias("doc_id"), "whole", F.lit(False).alias("copy"), "starts"
     )
-    copies = identity.filter("doc_id <> first").select("doc_id", "whole", F.lit(True).alias("copy"), F.lit(None).cast("array<long>").alias("starts"))
-    parts = firsts.join(starts, "whole").select(F.col("first").alias("doc_id"), "whole", F.lit(False).alias("copy"), "starts")
     marks = copies.unionByName(parts).groupBy("doc_id").agg(F.collect_list(F.struct("whole", "copy", "starts")).alias("marks"))
 
     kind = every.schema["rest"].dataType.simpleString()
