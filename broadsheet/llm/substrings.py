@@ -89,11 +89,16 @@ def _anchors(batches, window: int, anchor: int):
             )
 
 
-_SEGMENTS = "first long, nth int, at long, route long, words string"
+_PLACES = "first long, nth int, at long, route long, key long"
+_SEGMENTS = "route long, key long, words string, first long, last long"
 
 
 def _segments(batches, window: int, anchor: int):
-    """Runs of windows with one repeated anchor, as words; windows of a hot anchor one by one."""
+    """Runs of windows with one repeated anchor; windows of a hot anchor one by one.
+
+    For every batch the rows (first, nth, at, route, words): the document's first id and text
+    number, the first word, and where the segment is dealt to.
+    """
     for batch in batches:
         rows = []
         for text, entries in zip(batch.column("text").cast(pa.binary()), batch.column("entries").to_pylist()):
@@ -102,6 +107,7 @@ def _segments(batches, window: int, anchor: int):
             words = words_of(text.as_py())
             if entry is None or len(words) < window:
                 continue
+            first, nth = entry["first"], entry["nth"]
             groups, places = window_anchors(words, window, anchor)
             wanted = np.array(sorted(a["anchor"] for a in entry["anchors"]), dtype=np.int64)
             hot = {a["anchor"] for a in entry["anchors"] if a["hot"]}
@@ -111,18 +117,46 @@ def _segments(batches, window: int, anchor: int):
             for s, e in zip(starts.tolist(), ends.tolist()):
                 value = int(groups[places[s]])
                 if value not in hot:
-                    rows.append((entry["first"], entry["nth"], s, value, b" ".join(words[s : e + window])))
+                    rows.append((first, nth, s, value, b" ".join(words[s : e + window])))
                     continue
                 for i in range(s, e + 1):
                     part = b" ".join(words[i : i + window])
-                    route = int.from_bytes(xxhash.xxh64_digest(part, 7), "big", signed=True)
-                    rows.append((entry["first"], entry["nth"], i, route, part))
+                    rows.append((first, nth, i, _signed(xxhash.xxh64_intdigest(part, 7)), part))
         if rows:
-            columns = list(zip(*rows))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            arrays.append(pa.array(columns[4], pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays(arrays, ["first", "nth", "at", "route", "words"])
+            yield rows
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _key(words: bytes) -> int:
+    return _signed(xxhash.xxh64_intdigest(words, 11))
+
+
+def _segment_places(batches, window: int, anchor: int):
+    for rows in _segments(batches, window, anchor):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
+             pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()),
+             pa.array([_key(r[4]) for r in rows], pa.int64())],
+            ["first", "nth", "at", "route", "key"],
+        )
+
+
+def _segment_texts(batches, window: int, anchor: int):
+    """The distinct segments of a batch with their least and greatest document."""
+    for rows in _segments(batches, window, anchor):
+        held: dict[tuple[int, bytes], tuple[int, int]] = {}
+        for first, _, _, route, words in rows:
+            low, high = held.get((route, words), (first, first))
+            held[route, words] = (min(low, first), max(high, first))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in held], pa.int64()), pa.array([_key(k[1]) for k in held], pa.int64()),
+             pa.array([k[1] for k in held], pa.binary()).cast(pa.string()),
+             pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())],
+            ["route", "key", "words", "first", "last"],
+        )
 
 
 def shard_minima(segments: list[bytes], documents: np.ndarray, window: int) -> list[np.ndarray]:
@@ -142,32 +176,35 @@ def shard_minima(segments: list[bytes], documents: np.ndarray, window: int) -> l
     return np.split(flat, offsets[1:-1])
 
 
-_MINIMA = "route long, words string, least array<long>"
+_MINIMA = "route long, key long, least array<long>"
 
 
 def _shards(batches, window: int):
-    """Cut a partition, sorted by route, into shards of about ``SHARD`` symbols; keep the segments
-    of which some holder has a window that an earlier document has too."""
+    """Cut a partition, sorted by route and words, into shards of about ``SHARD`` symbols; keep the
+    segments of which some holder has a window that an earlier document has too."""
 
     def finish(rows):
-        routes, words, first, last = zip(*rows)
-        minima = shard_minima([w.encode() for w in words], np.array(first, dtype=np.int64), window)
-        kept = [i for i, m in enumerate(minima) if (m < last[i]).any()]
+        minima = shard_minima([r[2].encode() for r in rows], np.array([r[3] for r in rows], dtype=np.int64), window)
+        kept = [i for i, m in enumerate(minima) if (m < rows[i][4]).any()]
         return pa.RecordBatch.from_arrays(
-            [pa.array([routes[i] for i in kept], pa.int64()), pa.array([words[i] for i in kept], pa.string()),
+            [pa.array([rows[i][0] for i in kept], pa.int64()), pa.array([rows[i][1] for i in kept], pa.int64()),
              pa.array([minima[i].tolist() for i in kept], pa.list_(pa.int64()))],
-            ["route", "words", "least"],
+            ["route", "key", "least"],
         )
 
-    rows, symbols, route = [], 0, None
+    rows, symbols = [], 0
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("route", "words", "first", "last"))):
-            if symbols >= SHARD and row[0] != route:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("route", "key", "words", "first", "last"))):
+            before = rows[-1] if rows else None
+            if before is not None and before[0] == row[0]:
+                if before[2] == row[2]:  # the same segment from another batch
+                    rows[-1] = (*row[:3], min(before[3], row[3]), max(before[4], row[4]))
+                    continue
+            elif symbols >= SHARD:
                 yield finish(rows)
                 rows, symbols = [], 0
             rows.append(row)
-            symbols += row[1].count(" ") + 2
-            route = row[0]
+            symbols += row[2].count(" ") + 2
     if rows:
         yield finish(rows)
 
@@ -223,10 +260,10 @@ def repeated(docs: DataFrame, window: int = WINDOW, joined: bool = True) -> Data
        window).
     2. Every window has an anchor, a group of words that its content alone chooses. Anchors in
        two different texts are kept; only windows with such an anchor can repeat.
-    3. Runs of windows with one kept anchor are segments, made distinct with their smallest
-       document. All equal windows have equal anchors, so segments are dealt into shards by
+    3. Runs of windows with one kept anchor are segments, made distinct, with their smallest
+       document, in every batch and again in a shard. All equal windows have equal anchors, so segments are dealt into shards by
        anchor, and a shard needs nothing from outside. An anchor in over ``HOT`` documents is
-       dealt out by whole windows, which are made distinct before.
+       dealt out by whole windows.
     4. A shard is an FM-index of bounded size; see ``shard_minima``.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -258,17 +295,15 @@ def repeated(docs: DataFrame, window: int = WINDOW, joined: bool = True) -> Data
         known_as.join(of_doc, "doc_id")
         .groupBy("doc_id").agg(F.collect_list(F.struct("whole", "first", "nth", "anchors")).alias("entries"))
     )
-    segments = rows.join(entries, "doc_id").mapInArrow(lambda b: _segments(b, window, ANCHOR), _SEGMENTS)
-
-    distinct = segments.groupBy("route", "words").agg(F.min("first").alias("first"), F.max("first").alias("last"))
-    minima = distinct.repartition("route").sortWithinPartitions("route").mapInArrow(
+    candidates = rows.join(entries, "doc_id")
+    segments = candidates.mapInArrow(lambda b: _segment_texts(b, window, ANCHOR), _SEGMENTS)
+    minima = segments.repartition("route").sortWithinPartitions("route", "words").mapInArrow(
         lambda b: _shards(b, window), _MINIMA
     )
-    by_words = minima.select("route", F.xxhash64("words").alias("key"), "least")
-    places = segments.select("first", "nth", "at", "route", F.xxhash64("words").alias("key"))
+    places = candidates.mapInArrow(lambda b: _segment_places(b, window, ANCHOR), _PLACES)
     earlier = F.expr("filter(transform(least, (m, i) -> if(m < first, at + i, null)), x -> x is not null)")
     starts = (
-        places.join(by_words, ["route", "key"]).select("first", "nth", earlier.alias("starts")).filter(F.size("starts") > 0)
+        places.join(minima, ["route", "key"]).select("first", "nth", earlier.alias("starts")).filter(F.size("starts") > 0)
         .groupBy("first", "nth").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     )
     copies = known_as.filter("doc_id <> first").select(
