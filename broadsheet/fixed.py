@@ -6,6 +6,9 @@ published by the sites or stored in archives.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 # White space as .NET and JavaScript understand it (Java's \s is ASCII only).
 WS_CODES = [
     *range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
@@ -205,3 +208,14 @@ ENTITIES = {
     "cent": "¢",
     "euro": "€",
 }
+
+# Character references by the standard library's table of the HTML standard: all names with a
+# semicolon as one JSON object, the old names that may lack it, longest first, and the numbers
+# of the C1 controls, which stand for Windows-1252 characters.
+NAMES_JSON = json.dumps({name[:-1]: text for name, text in html5.items() if name.endswith(";")})
+BARE_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+CONTROL_REFERENCES = {
+    str(code): char
+    for code in range(0x80, 0xA0)
+    if (char := bytes([code]).decode("cp1252", "ignore"))
+}

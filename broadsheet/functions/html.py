@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from broadsheet.fixed import ENTITIES
+from broadsheet.fixed import BARE_NAMES, CONTROL_REFERENCES, ENTITIES, NAMES_JSON
 from broadsheet.functions.core import collapse_ws, let, lookup, single_blanks, ws_trim
 
+# Elements whose content is no part of the page as it is shown.
+INERT_TAGS = ("script", "style", "noscript", "template", "textarea", "title")
 INVISIBLE = (
-    r"(?s)<(?:!--.*?(?:-->|\z)"
-    r"|(?i:script)[\s/>].*?(?:</(?i:script)(?=[\s/>])[^>]*(?:>|\z)|\z)"
-    r"|(?i:style)[\s/>].*?(?:</(?i:style)(?=[\s/>])[^>]*(?:>|\z)|\z))"
+    r"(?s)<(?:!--.*?(?:-->|\z)|"
+    + "|".join(
+        rf"(?i:{tag})[\s/>].*?(?:</(?i:{tag})(?=[\s/>])[^>]*(?:>|\z)|\z)" for tag in INERT_TAGS
+    )
+    + ")"
 )
 # A tag that is never closed runs to the end of the text.
 TAG = r"<[/!?]?[a-zA-Z][^>]*(?:>|\z)"
@@ -37,30 +41,43 @@ def _rest(parts: Column) -> Column:
 
 
 def strip_invisible(html: Column) -> Column:
-    """Drop comments, scripts and styles; an unclosed one runs to the end of the page."""
+    """Drop comments and inert elements; an unclosed one runs to the end of the page."""
     return F.regexp_replace(html, INVISIBLE, "")
 
 
-def decode_entities(text: Column) -> Column:
-    """Resolve character references in one pass, so decoded text is never decoded again."""
+def decode_entities(text: Column, bare_names: bool = True) -> Column:
+    """Resolve character references in one pass, so decoded text is never decoded again.
+
+    All names of the HTML standard, and numbers of any length. Old names may lack their
+    semicolon in text; in an attribute, where a query string would suffer, pass
+    ``bare_names=False``.
+    """
+    bare = BARE_NAMES if bare_names else "(?!)"
+    reference = f"^(#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[a-zA-Z][a-zA-Z0-9]*;|{bare})"
 
     def piece(part: Column) -> Column:
-        named = F.regexp_extract(part, "^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[a-zA-Z]{1,8});", 1)
-        return let(named, lambda name: resolved(part, name))
+        return let(F.regexp_extract(part, reference, 1), lambda name: resolved(part, name))
 
-    def resolved(part: Column, name: Column) -> Column:
-        rest = F.substr(part, F.length(name) + 2)
-        char = F.when(name.startswith("#"), char_of(name)).otherwise(lookup(ENTITIES, name))
+    def resolved(part: Column, written: Column) -> Column:
+        name = F.rtrim(written, F.lit(";"))
+        rest = F.substr(part, F.length(written) + 1)
+        known = F.coalesce(lookup(ENTITIES, name), F.try_element_at(all_names(), name))
+        char = F.when(written.startswith("#"), char_of(name)).when(written != "", known)
         return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part))
 
+    def all_names() -> Column:
+        # One constant, folded once, instead of some 4,000 literals in every plan.
+        return F.from_json(F.lit(NAMES_JSON), "map<string,string>")
+
     def char_of(name: Column) -> Column:
-        code = F.when(
-            name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)
-        ).otherwise(F.substring(name, 2, 7))
-        number = code.try_cast("int")
+        digits = F.regexp_extract(name, "^#[xX]?0*([0-9a-fA-F]*)$", 1)
+        short = F.when(F.length(digits) <= 8, digits)
+        code = F.when(name.rlike("^#[xX]"), F.conv(short, 16, 10)).otherwise(short)
+        number = code.try_cast("long")
         legal = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
         point = F.when(legal, number).otherwise(0xFFFD)
-        return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        plain = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        return F.coalesce(lookup(CONTROL_REFERENCES, number.cast("string")), plain)
 
     def decoded(whole: Column) -> Column:
         return let(
@@ -99,7 +116,7 @@ def _raw_attribute(head: Column, name: str) -> Column:
 
 def attribute(head: Column, name: str) -> Column:
     """Value of an attribute, references decoded and trimmed; '' when absent."""
-    return ws_trim(decode_entities(_raw_attribute(head, name)))
+    return ws_trim(decode_entities(_raw_attribute(head, name), bare_names=False))
 
 
 def _after_tag_name(html: Column, tag: str) -> Column:
@@ -145,6 +162,25 @@ def texts_of(html: Column, tag: str) -> Column:
     )
 
 
+def nth_text(html: Column, tag: str, n: int) -> Column:
+    """One-line text of the nth element of a kind, nested ones of its kind included; null if
+    there are fewer."""
+    parts = _after_tag_name(html, tag)
+
+    def text(tail: Column) -> Column:
+        rest = F.substr(tail, F.length(_head(tail)) + 2)
+        return text_content(_to_matching_close(rest, F.lit(tag)))
+
+    tail = F.array_join(F.slice(parts, F.lit(n + 1), F.greatest(F.size(parts), F.lit(0))), f"<{tag}")
+    return F.when(F.size(parts) > n, let(tail, text))
+
+
+def base_href(html: Column) -> Column:
+    """Target of the first ``base`` element with one; null without."""
+    found = F.transform(_after_tag_name(html, "base"), lambda part: attribute(_head(part), "href"))
+    return F.get(F.filter(found, lambda target: target != ""), F.lit(0))
+
+
 def image_sources(html: Column) -> Column:
     """Distinct image addresses, first occurrence first.
 
@@ -154,7 +190,7 @@ def image_sources(html: Column) -> Column:
     def source(head: Column) -> Column:
         names = ["src", "data-src", "data-original", "data-actualsrc"]
         given = F.coalesce(*[F.nullif(_raw_attribute(head, n), F.lit("")) for n in names])
-        return decode_entities(given)
+        return decode_entities(given, bare_names=False)
 
     found = F.transform(_after_tag_name(html, "img"), lambda part: let(_head(part), source))
     return F.array_distinct(F.filter(found, lambda s: s.isNotNull()))
@@ -175,7 +211,11 @@ def element_inner(html: Column, open_pattern: Column, tag: Column) -> Column:
 
     The end is the closing tag at the same depth. ``html`` must be free of comments.
     """
-    rest = F.get(F.split(html, open_pattern, 2), F.lit(1))
+    return _to_matching_close(F.get(F.split(html, open_pattern, 2), F.lit(1)), tag)
+
+
+def _to_matching_close(rest: Column, tag: Column) -> Column:
+    """What stands before the closing tag that matches an element opened just before."""
     boundary = F.concat(F.lit("(?=</?(?i:"), tag, F.lit(r")[\s>/])"))
 
     # Every part but the first starts with a boundary tag; a leading blank marks the first.

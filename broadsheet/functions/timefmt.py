@@ -15,9 +15,46 @@ _TIME = (
 )
 
 
-def parse_publish_time(text: Column) -> Column:
-    """Timestamp of a page's time line, read in the session zone; null when it is none."""
-    clean = ws_trim(text)
+# 12-hour clocks: the mark may stand before or after the clock time.
+_HALF = r"(?i)(上午|下午|[AP]M)"
+_AFTERNOON = ["下午", "PM"]
+_MONTH_FIRST = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})"
+_NO_YEAR = r"^([0-9]{1,2})[-/月]([0-9]{1,2})日?(?=\s|$)"
+
+
+def parse_publish_time(
+    text: Column, now: Column | None = None, zone: str | None = None
+) -> Column:
+    """Timestamp of a page's time line; null when it is none.
+
+    Year first, or month first before a year (``01/05/2024``), on a 24-hour clock or with a
+    morning or afternoon mark. A date without a year is taken in the year of ``now``, and is
+    none without it. Times without an offset are read in ``zone``, by default the session's.
+    """
+    line = F.regexp_replace(ws_trim(text), _MONTH_FIRST, "$3-$1-$2")
+    if now is not None:
+        dated = F.concat(F.year(now).cast("string"), F.lit("-"), F.regexp_replace(line, _NO_YEAR, "$1-$2"))
+        line = F.when(line.rlike(_NO_YEAR), dated).otherwise(line)
+    half = F.upper(F.regexp_extract(line, _HALF, 1))
+    plain = F.when(half == "", line).otherwise(
+        ws_trim(F.regexp_replace(F.regexp_replace(line, _HALF, " "), r"\s+", " "))
+    )
+    found = _parse_clean(plain)
+    hour = F.hour(found)
+    shift = F.when(half.isin(_AFTERNOON) & (hour < 12), 12).when(
+        (half != "") & ~half.isin(_AFTERNOON) & (hour == 12), -12
+    )
+    shifted = F.when((half == "") | (hour > 12), found).otherwise(
+        found + F.make_dt_interval(F.lit(0), F.coalesce(shift, F.lit(0)))
+    )
+    if zone is None:
+        return shifted
+    has_offset = plain.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$") & plain.rlike(":")
+    moved = F.from_utc_timestamp(F.to_utc_timestamp(shifted, zone), F.current_timezone())
+    return F.when(has_offset, shifted).otherwise(moved)
+
+
+def _parse_clean(clean: Column) -> Column:
     canonical = F.trim(F.regexp_replace(clean, _TIME, "$1-$2-$3 $4$5"))
     # An offset may only follow full clock times.
     to_seconds = F.regexp_replace(canonical, r"^(\S+ [0-9]+:[0-9]{2})(Z|[+-]|$)", "$1:00$2")

@@ -11,6 +11,7 @@ from broadsheet.functions.html import (
     decode_entities,
     element_inner,
     image_sources,
+    nth_text,
     strip_invisible,
     strip_tags,
     texts_of,
@@ -34,13 +35,10 @@ MANIFEST_ARRAY = (
 def meta_from_spans(meta: Column) -> Column:
     """STRUCT<publish_time, publisher> from the first and third span of a meta block."""
 
-    def fields(texts: Column) -> Column:
-        return F.struct(
-            F.coalesce(F.get(texts, F.lit(0)), F.lit("")).alias("publish_time"),
-            F.coalesce(F.get(texts, F.lit(2)), F.lit("")).alias("publisher"),
-        )
-
-    return let(texts_of(meta, "span"), fields)
+    return F.struct(
+        F.coalesce(nth_text(meta, "span", 0), F.lit("")).alias("publish_time"),
+        F.coalesce(nth_text(meta, "span", 2), F.lit("")).alias("publisher"),
+    )
 
 
 def meta_from_info(info: Column) -> Column:

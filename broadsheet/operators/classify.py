@@ -15,6 +15,7 @@ from broadsheet.fixed import CATEGORY_NONE, CHINESE, ENGLISH, UNKNOWN
 from broadsheet.functions.categories import label_to_flag
 from broadsheet.functions.text import detect_language, tokens
 from broadsheet.operators.corpus import (
+    LOCAL_VOCABULARY,
     evaluation,
     label_index,
     require_rows,
@@ -95,13 +96,17 @@ def train(
     reg_param: float = 1e-5,
     tol: float = 1e-4,
     id_column: str = "id",
+    max_labels: int = 10_000,
 ) -> TextModel:
     """Fit a multinomial classifier on ``id, text, label`` rows.
 
     Features are token shares (the mean over a text's tokens), so word order is not used. One
     fifth of the rows is held out by an exact seeded split and scored at the end. The driver
-    holds the vocabulary (at most ``vocab_size``) and the labels, never rows.
+    holds the vocabulary (at most ``vocab_size``, itself at most ``LOCAL_VOCABULARY``) and the
+    labels (more than ``max_labels`` are an error), never rows.
     """
+    if vocab_size > LOCAL_VOCABULARY:
+        raise ValueError(f"vocab_size is at most {LOCAL_VOCABULARY}")
     checked = require_rows(rows, 2, "Dataset must have at least 2 samples.")
     # Tokens are wanted by the counts, the fit and the evaluation.
     prepared = with_tokens(split_exact(checked, seed, id_column), language).persist()
@@ -110,6 +115,10 @@ def train(
         vocab = vocabulary(token_frequency(training), vocab_size)
         words = vocabulary_words(vocab)
         # Every label counts, also one that only the held-out rows have.
+        names = prepared.select("label").distinct()
+        found = names.limit(max_labels + 1).count()
+        if found > max_labels:
+            raise ValueError(f"more than {max_labels} labels")
         labels = [r["label"] for r in label_index(prepared).orderBy("idx").collect()]
         features = [
             CountVectorizerModel.from_vocabulary(

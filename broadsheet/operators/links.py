@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from broadsheet.functions.core import is_blank, let, or_empty
-from broadsheet.functions.html import anchors, strip_invisible
+from broadsheet.functions.html import anchors, base_href, strip_invisible
 from broadsheet.functions.urls import has_prefix, is_feed_noise, is_web_url
 from broadsheet.functions.urls import parse_base, resolve_url
 
@@ -24,6 +24,18 @@ def anchor_array(html: Column) -> Column:
     )
 
 
+def document_base(html: Column, url: Column) -> Column:
+    """Parts of the URL that relative addresses of a page are resolved against."""
+
+    def given(target: Column) -> Column:
+        resolved = resolve_url(target, parse_base(url))
+        return parse_base(F.coalesce(F.when(is_web_url(resolved), resolved), url))
+
+    # Most pages have no such element: the page is searched for it only if its name occurs.
+    has = html.rlike(r"(?i)<base[\s/]")
+    return F.when(has, let(base_href(strip_invisible(html)), given)).otherwise(parse_base(url))
+
+
 def resolve_array(found: Column, base: Column) -> Column:
     """The anchors with absolute http(s) URLs; the others are dropped."""
     def resolved(base: Column) -> Column:
@@ -86,7 +98,7 @@ def drop_banned(links: Column, banned: Column) -> Column:
 
 def with_links(pages: DataFrame) -> DataFrame:
     """Add ``links``, the page's final links, to pages that carry a ``rule``."""
-    found = resolve_array(anchor_array(F.col("html")), parse_base(F.col("url")))
+    found = resolve_array(anchor_array(F.col("html")), document_base(F.col("html"), F.col("url")))
     wanted = site_links(found, F.col("rule.prefixes"), F.col("rule.feed_noise"))
     return pages.withColumn(
         "links", drop_banned(first_per_url(wanted), F.col("rule.banned"))

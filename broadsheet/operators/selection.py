@@ -40,10 +40,23 @@ def _narrow(archive: DataFrame) -> DataFrame:
     return archive.select("id", "url", "publish_time", PARTITION_COLUMN)
 
 
+def _newest_days(archive: DataFrame, n: int) -> DataFrame:
+    """The newest days that together hold ``n`` rows; the undated day is the oldest.
+
+    Rows per day need no column, only the files' row counts. The window runs over days.
+    """
+    newer = Window.orderBy(F.desc(PARTITION_COLUMN)).rowsBetween(Window.unboundedPreceding, -1)
+    days = archive.groupBy(PARTITION_COLUMN).agg(F.count("*").alias("rows"))
+    needed = days.withColumn("before", F.coalesce(F.sum("rows").over(newer), F.lit(0)))
+    first = needed.filter(F.col("before") < n).agg(F.min(PARTITION_COLUMN).alias("day")).scalar()
+    return archive.filter(F.col(PARTITION_COLUMN) >= first)
+
+
 def latest(archive: DataFrame, n: int = 20) -> DataFrame:
     """The ``n`` newest rows, undated ones last, ties by id."""
     order = [F.desc_nulls_last("publish_time"), F.asc("id")]
-    top = _narrow(archive).orderBy(*order).limit(n)
+    recent = _newest_days(archive, n) if _is_stored(archive) else archive
+    top = _narrow(recent).orderBy(*order).limit(n)
     return _fetch(archive, top).orderBy(*order).limit(n) if _is_stored(archive) else top
 
 
@@ -82,6 +95,9 @@ def random_batch_unseen(
     moment = now if isinstance(now, Column) else F.lit(now)
     cutoff = moment - F.make_dt_interval(F.lit(max(0, min_age_days)))
     old = _narrow(archive).filter(F.col("publish_time") <= cutoff)
+    if _is_stored(archive):  # days after the cutoff are never opened
+        last_day = F.to_date(F.to_utc_timestamp(cutoff, F.current_timezone()))
+        old = old.filter(F.col(PARTITION_COLUMN) <= last_day)
     picked = (
         unseen(old, history)
         .orderBy(seeded_key(seed, F.col("id")), "id")

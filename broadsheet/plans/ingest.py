@@ -51,17 +51,17 @@ def landed_from_links(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 def gate_reasons(rows: DataFrame, archive: DataFrame) -> DataFrame:
     """Add ``reject``: 'blank url', 'known', 'empty' or null for rows to be written."""
-    known = archive.select("url").distinct().withColumn("_known", F.lit(True))
-    return (
-        rows.join(known, "url", "left")
-        .withColumn(
-            "reject",
-            F.when(is_blank(F.col("url")), "blank url")
-            .when(F.col("_known"), "known")
-            .when(F.col("text_length") == 0, "empty"),
-        )
-        .drop("_known")
+    # Rows without a URL would all meet under one key; the join does not see them.
+    blank = rows.filter(is_blank(F.col("url"))).withColumn("reject", F.lit("blank url"))
+    named = rows.filter(~is_blank(F.col("url")))
+    known = (
+        archive.select("url").join(named.select("url"), "url", "left_semi")
+        .distinct().withColumn("_known", F.lit(True))
     )
+    judged = named.join(known, "url", "left").withColumn(
+        "reject", F.when(F.col("_known"), "known").when(F.col("text_length") == 0, "empty")
+    )
+    return judged.select(*blank.columns).unionByName(blank)
 
 
 def new_articles(
@@ -69,11 +69,13 @@ def new_articles(
 ) -> DataFrame:
     """Articles of landed pages that may be written, one per URL.
 
-    Extraction and the empty-text gate run where the page is read, so only article text is
-    shuffled, never HTML.
+    Pages whose URL is archived go first, on the URL alone, so a page that lands again is not
+    extracted again. What is left is extracted where it is; only article text is shuffled.
+    Of several pages of one URL the first with text is taken.
     """
-    found = keep_rows(articles(with_rules(landed, rules)), F.col("text_length") > 0)
-    return unknown_urls(dedup_across_pages(found, "page_id"), archive, landed)
+    fresh = unknown_urls(landed, archive, landed)
+    found = keep_rows(articles(with_rules(fresh, rules)), F.col("text_length") > 0)
+    return dedup_across_pages(found, "page_id")
 
 
 def archive_rows(

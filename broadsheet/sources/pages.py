@@ -31,14 +31,3 @@ def stream_landed(spark: SparkSession, path: str, files_per_batch: int = 1000) -
         .parquet(path)
     )
 
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Spread a table that has fewer scan partitions than the session has cores.
-
-    A small file is one row group and would keep one core busy. A table with a partition per
-    core or more, as any large one is, is returned as it is and never shuffled.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() * 2 > cores:
-        return rows
-    return rows.repartition(cores)

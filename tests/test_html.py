@@ -33,8 +33,24 @@ def test_other_tags_that_start_with_a(one):
 def test_entities_are_decoded_once(one):
     values = ["&amp;lt;", "&#38;lt;", "&#x4e2d;&#65;", "a & b &bogus; &lt", "&#xD800;&#0;", "x"]
     assert one(H.decode_entities(V), values) == [
-        "&lt;", "&lt;", "中A", "a & b &bogus; &lt", "��", "x",
+        "&lt;", "&lt;", "中A", "a & b &bogus; <", "��", "x",
     ]
+    # In attributes a name without its semicolon may belong to a query string.
+    assert one(H.decode_entities(V, False), ["?a=1&copy=2&lt;"]) == ["?a=1&copy=2<"]
+
+
+def test_references_of_every_kind(one):
+    values = ["caf&eacute; &rarr;", "&#x0000041;&#150;&#0000000065", "&#99999999999;", "&notin; &not it &copy2"]
+    assert one(H.decode_entities(V), values) == ["café →", "A–A", "\ufffd", "∉ ¬ it ©2"]
+
+
+def test_inert_elements_and_nested_texts(one):
+    page = "<title><a href=t>T</a></title><template><img src=t></template><noscript>n</noscript><b>x</b>"
+    assert one(H.strip_invisible(V), [page, "<noscript>" * 50_000]) == ["<b>x</b>", ""]
+    spans = "<span>P <span>in</span> x</span><span>b</span>"
+    assert one(H.nth_text(V, "span", 0), [spans]) == ["P in x"]
+    assert one(H.nth_text(V, "span", 2), [spans, "<span>a</span>"]) == ["b", None]
+    assert one(H.base_href(V), ["<base target=x><base href='/d/'>", "x"]) == ["/d/", None]
 
 
 def test_page_full_of_unclosed_tags_is_linear(one):
