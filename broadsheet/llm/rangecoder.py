@@ -27,22 +27,26 @@ MAGIC = b"TIDB"
 
 
 class Model:
-    """Counts of one block; encoder and decoder update it alike, a step of all lanes at a time."""
+    """Counts of one block; encoder and decoder update it alike, a step of all lanes at a time.
+
+    A prediction and its confidence lie in one cell, ``id * 16 + confidence``, so that a context
+    is looked up once and stored once; narrow cells keep the tables in a core's cache.
+    """
 
     def __init__(self, vocabulary: int):
         self.size = vocabulary
         self.counts = np.ones(vocabulary, dtype=np.int64)
-        self.guess = [np.zeros(vocabulary, np.int64), np.zeros(_HASHED, np.int64)]
-        self.trust = [np.zeros(vocabulary, np.int64), np.zeros(_HASHED, np.int64)]
+        self.cells = [np.zeros(vocabulary, np.int32), np.zeros(_HASHED, np.int32)]
         self.gate = np.tile(np.array([1, 1, 2], np.int64), (512, 1))
         self.step = 0
 
     def predict(self, one: np.ndarray, two: np.ndarray) -> None:
         """Look both contexts up and set the weights of this step. ``one`` is the id before."""
         self.at = [one, ((two * 40503 + one) * 2654435761 >> 7) & (_HASHED - 1)]
-        self.said = [g[a] for g, a in zip(self.guess, self.at)]
-        self.sure = [t[a] for t, a in zip(self.trust, self.at)]
-        self.mix = (self.sure[1] * 16 + self.sure[0]) * 2 + (self.said[0] == self.said[1])
+        held = [c.take(a) for c, a in zip(self.cells, self.at)]
+        self.said = [h >> 4 for h in held]
+        self.sure = [h & 15 for h in held]
+        self.mix = ((self.sure[1] << 4 | self.sure[0]) << 1) + (self.said[0] == self.said[1])
         if self.step < 8 or self.step % 8 == 0:
             self._share()
 
@@ -50,8 +54,8 @@ class Model:
         """Turn counts into whole shares of the coder's range, none of them zero."""
         total = self.gate.sum(axis=1, keepdims=True)
         share = self.gate * ((1 << _GATE_BITS) - 3) // total + 1
-        self.gate_size = share.astype(_U)
-        self.gate_from = (np.cumsum(share, axis=1) - share).astype(_U)
+        self.gate_size = share.astype(_U).ravel()
+        self.gate_from = (np.cumsum(share, axis=1) - share).astype(_U).ravel()
         room = (1 << _ID_BITS) - self.size
         size = self.counts * room // self.counts.sum() + 1
         self.id_ends = np.cumsum(size)
@@ -60,19 +64,22 @@ class Model:
 
     def choose(self, ids: np.ndarray) -> np.ndarray:
         """0: order 2 has the id, 1: order 1 has it, 2: neither."""
-        second = (ids == self.said[1]) & (self.sure[1] > 0)
-        first = (ids == self.said[0]) & (self.sure[0] > 0)
-        return np.where(second, 0, np.where(first, 1, 2))
-
-    def update(self, ids: np.ndarray, choice: np.ndarray, rest: np.ndarray) -> None:
-        self.gate += np.bincount(self.mix * 3 + choice, minlength=1536).reshape(512, 3)
+        choice = np.full(len(ids), 2, dtype=np.int32)
+        choice[(ids == self.said[0]) & (self.sure[0] > 0)] = 1
+        choice[(ids == self.said[1]) & (self.sure[1] > 0)] = 0
+        return choice
+
+    def update(self, ids: np.ndarray, gates: np.ndarray, rest: np.ndarray) -> None:
+        """``gates`` are the places of the choices in the table of weights."""
+        self.gate += np.bincount(gates, minlength=1536).reshape(512, 3)
         np.add.at(self.counts, ids[rest], 8)
-        for guess, trust, at, said, sure in zip(self.guess, self.trust, self.at, self.said, self.sure):
+        fresh = ids << 4
+        for cells, at, said, sure in zip(self.cells, self.at, self.said, self.sure):
             hit = said == ids
-            doubt = sure <= 1
+            # Confirmed: surer. Refuted: replaced if there was little confidence, else half as sure.
+            missed = np.where(sure <= 1, fresh | 1, said << 4 | sure >> 1)
             # Of lanes with the same context the last one counts, in numpy's order of assignment.
-            guess[at] = np.where(hit | doubt, ids, said)
-            trust[at] = np.where(hit, np.minimum(sure + 1, 15), np.where(doubt, 1, sure >> 1))
+            cells[at] = np.where(hit, fresh | np.minimum(sure + 1, 15), missed)
         self.step += 1
 
 
@@ -83,6 +90,11 @@ class _Interval:
         self.low = np.zeros(lanes, _U)
         self.width = np.full(lanes, 2**64 - 1, _U)
 
+    def narrow_all(self, start: np.ndarray, size: np.ndarray, bits: int) -> None:
+        self.width >>= _U(bits)
+        self.low += self.width * start
+        self.width *= size
+
     def narrow(self, lanes, start: np.ndarray, size: np.ndarray, bits: int) -> None:
         unit = self.width[lanes] >> _U(bits)
         self.low[lanes] += unit * start
@@ -112,33 +124,39 @@ def _shape(count: int) -> tuple[int, int]:
 def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     """One block; ``ids`` holds 1 to ``BLOCK`` ids below ``vocabulary``."""
     lanes, steps = _shape(len(ids))
-    laid = np.zeros(lanes * steps, dtype=np.int64)
+    laid = np.zeros(lanes * steps, dtype=np.int32)
     laid[: len(ids)] = ids
     laid = np.ascontiguousarray(laid.reshape(lanes, steps).T)
-    model, interval, every = Model(vocabulary), _Interval(lanes), slice(None)
-    out = np.empty((lanes, 3 * steps + 8), dtype=np.uint16)
-    used = np.zeros(lanes, dtype=np.int64)
+    model, interval = Model(vocabulary), _Interval(lanes)
+    width = 3 * steps + 8
+    out = np.empty(lanes * width, dtype=np.uint16)
+    begin = np.arange(lanes) * width
+    free = begin.copy()
 
     def emit():
         for at, words in interval.settled():
-            out[at, used[at]] = words
-            used[at] += 1
+            where = free[at]
+            out[where] = words
+            free[at] = where + 1
 
     one = two = np.zeros(lanes, dtype=np.int64)
     for now in laid:
         model.predict(one, two)
         choice = model.choose(now)
-        interval.narrow(every, model.gate_from[model.mix, choice], model.gate_size[model.mix, choice], _GATE_BITS)
+        gates = model.mix * 3 + choice
+        interval.narrow_all(model.gate_from.take(gates), model.gate_size.take(gates), _GATE_BITS)
         rest = np.flatnonzero(choice == 2)
-        interval.narrow(rest, model.id_from[now[rest]], model.id_size[now[rest]], _ID_BITS)
+        ids_now = now[rest]
+        interval.narrow(rest, model.id_from.take(ids_now), model.id_size.take(ids_now), _ID_BITS)
         emit()
-        model.update(now, choice, rest)
-        one, two = now, one
+        model.update(now, gates, rest)
+        one, two = now.astype(np.int64), one
     final = (interval.low + _NARROW) & ~_NARROW  # inside the interval, and ends in zeros
     for shift in (48, 32):
-        out[np.arange(lanes), used] = final >> _U(shift) & _U(0xFFFF)
-        used += 1
-    words = out[np.arange(out.shape[1])[None, :] < used[:, None]]
+        out[free] = final >> _U(shift) & _U(0xFFFF)
+        free += 1
+    used = free - begin
+    words = out.reshape(lanes, width)[np.arange(width)[None, :] < used[:, None]]
     payload = used.astype("<u4").tobytes() + words.astype("<u2").tobytes()
     plain = np.ascontiguousarray(ids, dtype="<u4").tobytes()
     head = (MAGIC, vocabulary, len(ids), len(payload), zlib.crc32(payload), zlib.crc32(plain))
@@ -163,41 +181,45 @@ def decode_block(head: bytes, payload: bytes) -> np.ndarray:
         raise ValueError("damaged block: payload checksum")
     lanes, steps = _shape(count)
     used = np.frombuffer(payload, "<u4", lanes).astype(np.int64)
-    words = np.zeros((lanes, int(used.max()) + 8), dtype=_U)
-    words[np.arange(words.shape[1])[None, :] < used[:, None]] = np.frombuffer(payload, "<u2", offset=4 * lanes)
-    model, interval, every = Model(vocabulary), _Interval(lanes), slice(None)
+    width = int(used.max()) + 8
+    words = np.zeros((lanes, width), dtype=np.uint16)
+    words[np.arange(width)[None, :] < used[:, None]] = np.frombuffer(payload, "<u2", offset=4 * lanes)
+    model, interval = Model(vocabulary), _Interval(lanes)
     code = np.zeros(lanes, _U)
     for k in range(4):
         code = code << _SIXTEEN | words[:, k]
-    read = np.full(lanes, 4, dtype=np.int64)
-
-    numbers = np.arange(lanes)
-
-    def slot(at, bits):
-        return (code[at] - interval.low[at]) // (interval.width[at] >> _U(bits))
+    words = words.ravel()
+    following = np.arange(lanes) * width + 4
 
     def take():
         for at, _ in interval.settled():
-            code[at] = code[at] << _SIXTEEN | words[at, read[at]]
-            read[at] += 1
+            where = following[at]
+            code[at] = code[at] << _SIXTEEN | words[where]
+            following[at] = where + 1
 
-    laid = np.empty((steps, lanes), dtype=np.int64)
+    laid = np.empty((steps, lanes), dtype=np.int32)
     one = two = np.zeros(lanes, dtype=np.int64)
     for t in range(steps):
         model.predict(one, two)
-        value = slot(every, _GATE_BITS)
-        begins = model.gate_from[model.mix]
-        choice = (value >= begins[:, 1]).astype(np.int64) + (value >= begins[:, 2])
-        interval.narrow(every, begins[numbers, choice], model.gate_size[model.mix, choice], _GATE_BITS)
-        now = np.where(choice == 0, model.said[1], model.said[0]).astype(np.int64)
+        gates = model.mix * 3
+        unit = interval.width >> _U(_GATE_BITS)
+        # The part of the gate by comparing with its borders; a multiplication beats a division.
+        inside = code - interval.low
+        choice = (inside >= unit * model.gate_from.take(gates + 1)).astype(np.int32)
+        choice += inside >= unit * model.gate_from.take(gates + 2)
+        gates += choice
+        interval.narrow_all(model.gate_from.take(gates), model.gate_size.take(gates), _GATE_BITS)
+        now = np.where(choice == 0, model.said[1], model.said[0])
         rest = np.flatnonzero(choice == 2)
-        found = np.searchsorted(model.id_ends, slot(rest, _ID_BITS).astype(np.int64), side="right")
-        now[rest] = found = np.minimum(found, vocabulary - 1)
-        interval.narrow(rest, model.id_from[found], model.id_size[found], _ID_BITS)
+        slot = (code[rest] - interval.low[rest]) // (interval.width[rest] >> _U(_ID_BITS))
+        found = np.searchsorted(model.id_ends, slot.astype(np.int64), side="right")
+        found = np.minimum(found, vocabulary - 1)
+        now[rest] = found
+        interval.narrow(rest, model.id_from.take(found), model.id_size.take(found), _ID_BITS)
         take()
-        model.update(now, choice, rest)
+        model.update(now, gates, rest)
         laid[t] = now
-        one, two = now, one
+        one, two = now.astype(np.int64), one
     ids = laid.T.reshape(-1)[:count].astype("<u4")
     if zlib.crc32(ids.tobytes()) != ids_checksum:
         raise ValueError("damaged block: ids checksum")
