@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -24,6 +25,7 @@ _FOOT_MAGIC = b"TIDX"
 # alike wherever it stands: no piece of the tokenizer reaches across the end of a word.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _UNITS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+$").findall
+_IS_WHITE = re.compile(f"[{_WHITE}]").fullmatch
 
 
 class LibraryTokenizer:
@@ -36,6 +38,12 @@ class LibraryTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size()
+        # Bytes of text that each id stands for: a character of a byte-level token is one byte.
+        self._bytes = np.zeros(self.size, dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self._bytes[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self._bytes[i] = len(token.content.encode())
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -49,8 +57,23 @@ class LibraryTokenizer:
                 unknown.append(unit)
             else:
                 self._new[unit] = found
-        for unit, made in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
-            self._new[unit] = struct.pack(f"<{len(made.ids)}I", *made.ids)
+        chained, alone = [], []
+        for unit in unknown:
+            (chained if _IS_WHITE(unit[0]) and not _IS_WHITE(unit[-1]) else alone).append(unit)
+        texts = ["".join(chained), *alone]
+        made = [np.array(m.ids, "<u4") for m in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self._new.update(zip(chained, self._apart(made[0], chained)))
+        self._new.update((unit, ids.tobytes()) for unit, ids in zip(alone, made[1:]))
+
+    def _apart(self, ids: np.ndarray, units: list[str]) -> list[bytes]:
+        """Ids of each of the units that were encoded as one text. Units that begin with white
+        space and end a word are encoded alike in a row; the bytes of ids show the borders."""
+        ends, borders = np.cumsum(self._bytes[ids]), np.cumsum([len(u.encode()) for u in units], dtype=np.int64)
+        cuts = np.searchsorted(ends, borders)
+        if len(units) and (cuts[-1] + 1 != len(ids) or (ends[cuts] != borders).any()):
+            raise ValueError("an id reaches across the end of a word")
+        packed, cuts = ids.tobytes(), (4 * cuts + 4).tolist()
+        return [packed[a:b] for a, b in zip([0, *cuts], cuts)]
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text as unsigned 32-bit integers."""
@@ -71,6 +94,7 @@ _LOADED: dict[str, LibraryTokenizer] = {}
 
 def _tokenizer(path: str) -> LibraryTokenizer:
     if path not in _LOADED:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads only cost
         _LOADED[path] = LibraryTokenizer(path)
     return _LOADED[path]
 
