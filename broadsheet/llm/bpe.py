@@ -53,6 +53,7 @@ class WordBpe:
             for rank, (a, b) in enumerate(loaded["model"]["merges"])
         }
         marks = "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
+        self.path, self._library = path, None
         self.split_special = regex.compile(f"({marks})").split
         self._new: dict[str, tuple[bytes, bytes]] = {}
         self._old: dict[str, tuple[bytes, bytes]] = {}
@@ -97,6 +98,16 @@ class WordBpe:
                     heapq.heappush(queue, leading * size + h)
         return [s for s in symbols if s >= 0]
 
+    def _pieces_of_newer(self, part: str) -> list[str]:
+        """Pieces of a run with characters that are newer than Python's Unicode tables: whether
+        they are letters, digits or neither is asked of the library's own tables."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        part = self._library.normalizer.normalize_str(part)
+        return [part[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(part)]
+
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
         """Ids of a run without white space, as 32-bit integers, and what they decode to."""
         ids: list[int] = []
@@ -104,6 +115,10 @@ class WordBpe:
             if part in self.special:
                 ids.append(self.special[part])
                 continue
+            if not part.isascii() and any(unicodedata.category(c) == "Cn" for c in part):
+                for piece in self._pieces_of_newer(part):
+                    ids += self.merge(piece.encode())
+                continue
             if not part.isascii():
                 # Lower case character by character: no special form at the end of a word.
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from hypothesis import given, settings, strategies as st
+from hypothesis import example, given, settings, strategies as st
 from oracle import compare, connect
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -390,6 +390,8 @@ _PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @settings(max_examples=200, deadline=None)
+@example(":\U000323b0")  # unassigned when the library was made
+@example("a\ua7daB \U00010d50:\u1c89x")  # newer than Python's tables
 @given(st.text(max_size=40) | st.text("ab'st \n　\x1c<|>ΣÉé1", max_size=40))
 def test_tokenizers_equal_the_library_on_any_text(text):
     ids, decoded = _BPE.encode_decode(text)
