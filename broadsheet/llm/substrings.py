@@ -282,8 +282,10 @@ def repeated(docs: DataFrame, window: int = WINDOW, joined: bool = True) -> Data
     # Anchors in two different texts. At most two rows per anchor and batch come together.
     anchors = rows.select("doc_id", "text").mapInArrow(lambda b: _anchors(b, window, ANCHOR), _ANCHORS)
     route = F.when(F.col("known"), F.xxhash64("doc_id", "anchor")).otherwise(F.col("anchor"))
-    together = Window.partitionBy(route)
-    met = anchors.withColumn("low", F.min("short").over(together)).withColumn("high", F.max("short").over(together))
+    # The key is a column of its own, so that both windows share one shuffle.
+    together = Window.partitionBy("route")
+    low, high = F.min("short").over(together).alias("low"), F.max("short").over(together).alias("high")
+    met = anchors.withColumn("route", route).select("doc_id", "anchor", "known", low, high)
     repeating = written(met.filter("known OR low < high").select("doc_id", "anchor"), "repeated-anchors")
     hot = repeating.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
     marked = repeating.join(hot, "anchor", "left").select(
