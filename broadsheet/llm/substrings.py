@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import DataFrame, functions as F, types as T, Window
 
 from broadsheet.llm.common import written
 from broadsheet.llm.fmindex import FmIndex
@@ -268,7 +268,10 @@ def repeated(docs: DataFrame, window: int = WINDOW, joined: bool = True) -> Data
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(None).cast("int").alias("none"))
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", packed.alias("rest"))
+    # A cast that changes nothing would keep the plans from sharing one shuffle of the texts.
+    wide = docs.schema["doc_id"].dataType == T.LongType()
+    doc_id = F.col("doc_id") if wide else F.col("doc_id").cast("long").alias("doc_id")
+    every = docs.select(doc_id, "text", packed.alias("rest"))
     rows = every.filter(F.col("doc_id").isNotNull())
 
     digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
