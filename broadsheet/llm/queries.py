@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from broadsheet.llm import bpe, cells, curves, language, licences, mixing, simhash, substrings
-from broadsheet.llm import tokenfiles, warc
+from broadsheet.llm import quality, repair, tokenfiles, warc, whitening
 from broadsheet.llm.common import importable
 
 QUERIES: dict = {}
@@ -236,3 +236,146 @@ def op10_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"),
     )
+
+
+_CRC_KEY = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+_SQL_OP11 = rf"""
+WITH RECURSIVE keyed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({_CRC_KEY}, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), list_resize([]::BIGINT[], 8, 0)),
+      lambda c, bit: xor(c >> 1, (c & 1) * 3988292384))), 4294967295) % 20 AS kind
+  FROM conversations
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM keyed WHERE kind <> 0
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, role[1] AS initial,
+         rtrim(text, E' \t\n\x0B\x0C\r') AS body
+  FROM damaged
+),
+judged AS (
+  SELECT *, body = '' AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(body, 1) NOT IN ('.', '!', '?') AS cut,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal
+  FROM placed
+),
+turns AS (SELECT conv_id, i, role, text, initial, blank OR again AS doomed, CASE WHEN cut THEN 3 ELSE 0 END AS more FROM judged),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated,
+         count(*) FILTER (illegal) AS illegal
+  FROM judged GROUP BY conv_id
+),
+-- The least (cost, audit) of each state before turn i, insertions included.
+walk(conv_id, i, w0, w1, w2, w3) AS (
+  SELECT conv_id, 1::BIGINT, {{'c': 0::BIGINT, 'a': ''}}, {{'c': 99999999::BIGINT, 'a': ''}}, {{'c': 3::BIGINT, 'a': 'I'}}, {{'c': 6::BIGINT, 'a': 'II'}}
+  FROM (SELECT DISTINCT conv_id FROM turns)
+  UNION ALL
+  SELECT conv_id, i, n0, n1, u, list_min([n3, {{'c': u.c + 3, 'a': u.a || 'I'}}]) FROM (
+    SELECT *, list_min([n2, {{'c': n0.c + 3, 'a': n0.a || 'I'}}, {{'c': n1.c + 3, 'a': n1.a || 'I'}}, {{'c': n3.c + 3, 'a': n3.a || 'I'}}]) AS u FROM (
+      SELECT w.conv_id, w.i + 1 AS i, {{'c': w0.c + 4, 'a': w0.a || 'D'}} AS n0,
+        list_min([{{'c': w1.c + 4, 'a': w1.a || 'D'}}] || CASE WHEN NOT doomed AND initial = 's' THEN [{{'c': w0.c + more, 'a': w0.a || 'K'}}] ELSE [] END) AS n1,
+        list_min([{{'c': w2.c + 4, 'a': w2.a || 'D'}}]
+          || CASE WHEN NOT doomed THEN [{{'c': w0.c + more + 3, 'a': w0.a || 'R'}}, {{'c': w1.c + more + 3, 'a': w1.a || 'R'}}, {{'c': w3.c + more + 3, 'a': w3.a || 'R'}}] ELSE [] END
+          || CASE WHEN NOT doomed AND initial = 'u' THEN [{{'c': w0.c + more, 'a': w0.a || 'K'}}, {{'c': w1.c + more, 'a': w1.a || 'K'}}, {{'c': w3.c + more, 'a': w3.a || 'K'}}] ELSE [] END) AS n2,
+        list_min([{{'c': w3.c + 4, 'a': w3.a || 'D'}}]
+          || CASE WHEN NOT doomed THEN [{{'c': w2.c + more + 3, 'a': w2.a || 'R'}}] ELSE [] END
+          || CASE WHEN NOT doomed AND initial = 'a' THEN [{{'c': w2.c + more, 'a': w2.a || 'K'}}] ELSE [] END) AS n3
+      FROM walk w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i
+    )
+  )
+),
+best AS (
+  SELECT conv_id, list_min([w0, w3]).c AS cost, list_min([w0, w3]).a AS audit FROM walk
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+),
+letters AS (
+  SELECT conv_id, j, audit[j] AS letter, len(replace(audit[1:j], 'I', '')) AS i, len(replace(audit[1:j], 'D', '')) AS k
+  FROM best, unnest(range(1, len(audit) + 1)) AS places(j) WHERE audit[j] <> 'D'
+),
+kept AS (
+  SELECT l.*, t.role, t.text, max(CASE WHEN k = 1 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS led
+  FROM letters l LEFT JOIN turns t ON letter <> 'I' AND t.conv_id IS NOT DISTINCT FROM l.conv_id AND t.i = l.i
+),
+texts AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (k - led) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS body FROM kept GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN texts x ON x.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+@_query(_SQL_OP11)
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations repaired at least cost."""
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(conversations), conversations)
+
+
+_CLOSE = quality.CLOSERS.replace("]", r"\]").replace("'", "''")
+_NOTICES = "|".join([n.replace("(", "[(]").replace(")", "[)]") for n in quality.NOTICES] + ["^" + n.replace("(", "[(]").replace(")", "[)]") for n in quality.NOTICE_STARTS])
+_SQL_OP12 = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS d FROM documents),
+lines AS (
+  SELECT d, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM docs
+),
+judged AS (
+  SELECT *, len(regexp_extract_all(line, '{quality.WORD}')) AS own,
+         translate(trim(line, E' \t\n\x0B\x0C\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS p
+  FROM lines
+),
+failed AS (
+  SELECT *, row_number() OVER (PARTITION BY d, line ORDER BY i) > 1 AS again,
+    NOT regexp_matches(p, '[{quality.SENTENCE_ENDS}][{_CLOSE}]*$') OR regexp_matches(p, '{quality.MARKED}')
+    OR regexp_matches(p, '^[^{quality.DIVIDERS}]*[^ {quality.DIVIDERS}][^{quality.DIVIDERS}]*([{quality.DIVIDERS}][^{quality.DIVIDERS}]*[^ {quality.DIVIDERS}][^{quality.DIVIDERS}]*){{{quality.DIVIDED},}}$')
+    OR regexp_full_match(rtrim(p, '{quality.FRAME_TAIL}'), '{quality.FRAME}') OR regexp_matches(p, '{_NOTICES}') AS fault
+  FROM judged WHERE own > 0
+),
+by_line AS (
+  SELECT d, sum(own) AS n_words, count(*) FILTER (again) AS dups, coalesce(sum(own) FILTER (fault), 0) AS lost FROM failed GROUP BY d
+),
+w AS (SELECT d, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT d, regexp_extract_all(t, '{quality.WORD}') AS ws FROM docs)),
+windows AS (
+  SELECT d, i, md5(string_agg(word, ' ') OVER ahead) AS win, count(*) OVER ahead AS n
+  FROM w WINDOW ahead AS (PARTITION BY d ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)
+),
+twice AS (SELECT d, i, n = 3 AND count(*) FILTER (n = 3) OVER (PARTITION BY d, win) > 1 AS twice FROM windows),
+covered AS (SELECT d, bool_or(twice) OVER (PARTITION BY d ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS covered FROM twice),
+repeats AS (SELECT d, count(*) FILTER (covered) AS n FROM covered GROUP BY d),
+counts AS (
+  SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-
+]', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines,
+         coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM docs LEFT JOIN by_line USING (d) LEFT JOIN repeats USING (d)
+),
+based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+SELECT * EXCLUDE (lost), NOT base_failed AND 100 * lost <= {quality.MOST_LOST_PERCENT} * n_words AS kept FROM based
+"""
+
+
+@_query(_SQL_OP12)
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdicts of every whole text."""
+    found = quality.quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@_query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every vector."""
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    # The operator's sum has 38 digits; one that a long cannot hold is null here.
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
