@@ -14,6 +14,37 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def apply_sql(value: Column, body: str) -> Column:
+    """A SQL lambda of one parameter applied to a column.
+
+    A long expression that is put together from columns costs a call to the JVM for every piece of
+    it, each time it is used; as text it is parsed in one.
+    """
+    return F.get(F.call_function("transform", F.array(value), F.expr(body)), F.lit(0))
+
+
+def sql_let(value: str, name: str, body: str) -> str:
+    """``let`` in SQL text: ``body`` uses the value by name."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def sql_apply(value: str, body: str) -> str:
+    """A SQL lambda of one parameter applied to SQL text."""
+    return f"get(transform(array({value}), {body}), 0)"
+
+
+def sql_collapse_ws(text: str) -> str:
+    return f"trim(regexp_replace({text}, {sql_literal(WS_UNEVEN)}, ' '))"
+
+
+def sql_ws_trim(text: str) -> str:
+    return f"btrim({text}, {sql_literal(WS_CHARS)})"
+
+
+def sql_is_blank(text: str) -> str:
+    return f"NOT coalesce({text} RLIKE {sql_literal(NON_WS)}, false)"
+
+
 def or_empty(items: Column, kind: str) -> Column:
     """The array, or an empty one.
 
@@ -61,10 +92,14 @@ def sql_literal(value: str | int) -> str:
     return f"'{escaped}'"
 
 
+def sql_map(entries: Mapping[str, str | int]) -> str:
+    """A constant map as SQL text."""
+    return f"map({', '.join(sql_literal(x) for pair in entries.items() for x in pair)})"
+
+
 def literal_map(entries: Mapping[str, str | int]) -> Column:
     """A constant map column, built in one step however many entries it has."""
-    parts = ", ".join(sql_literal(x) for pair in entries.items() for x in pair)
-    return F.expr(f"map({parts})")
+    return F.expr(sql_map(entries))
 
 
 def literal_array(values: Iterable[str]) -> Column:

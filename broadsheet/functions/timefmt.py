@@ -23,35 +23,50 @@ _NO_YEAR = r"^([0-9]{1,2})[-/月]([0-9]{1,2})日?(?=\s|$)"
 
 
 def parse_publish_time(
-    text: Column, now: Column | None = None, zone: str | None = None
+    text: Column, now: Column | None = None, zone: str | Column | None = None
 ) -> Column:
     """Timestamp of a page's time line; null when it is none.
 
     Year first, or month first before a year (``01/05/2024``), on a 24-hour clock or with a
-    morning or afternoon mark. A date without a year is taken in the year of ``now``, and is
-    none without it. Times without an offset are read in ``zone``, by default the session's.
+    morning or afternoon mark. A date without a year is taken in the year of ``now`` in that zone,
+    and is none without it. Times without an offset are read in ``zone``, by default (or where it
+    is null) the session's.
     """
+    local = F.current_timezone()
+    if zone is not None:
+        zone = F.coalesce(F.lit(zone) if isinstance(zone, str) else zone, local)
+
+    def with_year(line: Column) -> Column:
+        here = now if zone is None else F.from_utc_timestamp(F.to_utc_timestamp(now, local), zone)
+        dated = F.concat(F.year(here).cast("string"), F.lit("-"), F.regexp_replace(line, _NO_YEAR, "$1-$2"))
+        return F.when(line.rlike(_NO_YEAR), dated).otherwise(line)
+
+    def without_half(line: Column) -> Column:
+        half = F.upper(F.regexp_extract(line, _HALF, 1))
+        clock = ws_trim(F.regexp_replace(F.regexp_replace(line, _HALF, " "), r"\s+", " "))
+        return F.struct(half.alias("half"), F.when(half == "", line).otherwise(clock).alias("plain"))
+
+    def shifted(p: Column, found: Column) -> Column:
+        hour = F.hour(found)
+        shift = F.when(p["half"].isin(_AFTERNOON) & (hour < 12), 12).when(
+            (p["half"] != "") & ~p["half"].isin(_AFTERNOON) & (hour == 12), -12
+        )
+        return F.when((p["half"] == "") | (hour > 12), found).otherwise(
+            found + F.make_dt_interval(F.lit(0), F.coalesce(shift, F.lit(0)))
+        )
+
+    def placed(p: Column, found: Column) -> Column:
+        if zone is None:
+            return found
+        has_offset = p["plain"].rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$") & p["plain"].rlike(":")
+        return F.when(has_offset, found).otherwise(F.from_utc_timestamp(F.to_utc_timestamp(found, zone), local))
+
+    def read(p: Column) -> Column:
+        moved = let(_parse_clean(p["plain"]), lambda found: shifted(p, found))
+        return let(moved, lambda found: placed(p, found))
+
     line = F.regexp_replace(ws_trim(text), _MONTH_FIRST, "$3-$1-$2")
-    if now is not None:
-        dated = F.concat(F.year(now).cast("string"), F.lit("-"), F.regexp_replace(line, _NO_YEAR, "$1-$2"))
-        line = F.when(line.rlike(_NO_YEAR), dated).otherwise(line)
-    half = F.upper(F.regexp_extract(line, _HALF, 1))
-    plain = F.when(half == "", line).otherwise(
-        ws_trim(F.regexp_replace(F.regexp_replace(line, _HALF, " "), r"\s+", " "))
-    )
-    found = _parse_clean(plain)
-    hour = F.hour(found)
-    shift = F.when(half.isin(_AFTERNOON) & (hour < 12), 12).when(
-        (half != "") & ~half.isin(_AFTERNOON) & (hour == 12), -12
-    )
-    shifted = F.when((half == "") | (hour > 12), found).otherwise(
-        found + F.make_dt_interval(F.lit(0), F.coalesce(shift, F.lit(0)))
-    )
-    if zone is None:
-        return shifted
-    has_offset = plain.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$") & plain.rlike(":")
-    moved = F.from_utc_timestamp(F.to_utc_timestamp(shifted, zone), F.current_timezone())
-    return F.when(has_offset, shifted).otherwise(moved)
+    return let(let(line if now is None else let(line, with_year), without_half), read)
 
 
 def _parse_clean(clean: Column) -> Column:

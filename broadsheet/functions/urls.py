@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, functions as F
 
 from broadsheet.fixed import (
@@ -13,7 +15,7 @@ from broadsheet.fixed import (
     MIME_EXTENSIONS,
     VIDEO_PATH,
 )
-from broadsheet.functions.core import is_blank, let, lookup
+from broadsheet.functions.core import apply_sql, sql_apply, sql_is_blank, sql_let, sql_literal, sql_map
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 # Characters that are percent-encoded in each part of an http URL.
@@ -28,6 +30,15 @@ _ABSOLUTE_PLAIN = rf"^https?://[a-z0-9.\-]+(?=/){_NO_DOTS}[A-Za-z0-9/?#!$&()*+,\
 _ROOTED_PLAIN = rf"^/(?!/){_NO_DOTS}[^?#\\]*$"
 
 
+# Hex digits of a URL's hash that name its bucket: 256 buckets.
+BUCKET_DIGITS = 2
+
+
+def url_bucket(url: Column) -> Column:
+    """Bucket of a URL: a prefix of its 64-bit hash. URLs compare with case."""
+    return F.substring(F.lpad(F.lower(F.hex(F.xxhash64(url))), 16, "0"), 1, BUCKET_DIGITS)
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host of an absolute URL, without user and port."""
     return F.lower(
@@ -35,72 +46,58 @@ def host_of(url: Column) -> Column:
     )
 
 
-def _origin(scheme: Column, authority: Column) -> Column:
+def _sql_origin(scheme: str, authority: str) -> str:
     """``scheme://user@host:port`` normalised; null when it is no valid http(s) origin."""
-
-    def checked(p: Column) -> Column:
-        standard = F.when(scheme == "http", F.lit(":80")).otherwise(F.lit(":443"))
-        host = F.when(
-            p["host"].endswith(standard), F.regexp_replace(p["host"], ":[0-9]+$", "")
-        ).otherwise(F.regexp_replace(p["host"], ":$", ""))
-        return let(
-            host,
-            lambda bare: F.when(
-                bare.rlike(_HOST), F.concat(scheme, F.lit("://"), p["user"], bare)
-            ),
-        )
-
-    pieces = F.struct(
-        F.regexp_extract(authority, "^(.*@)", 1).alias("user"),
-        F.lower(F.regexp_replace(authority, "^.*@", "")).alias("host"),
+    standard = f"CASE WHEN {scheme} = 'http' THEN ':80' ELSE ':443' END"
+    bare = (
+        f"CASE WHEN endswith(_host, {standard}) THEN regexp_replace(_host, ':[0-9]+$', '') "
+        "ELSE regexp_replace(_host, ':$', '') END"
     )
-    return F.when(scheme.isin("http", "https"), let(pieces, checked))
+    user = f"regexp_extract({authority}, '^(.*@)', 1)"
+    whole = f"CASE WHEN _bare RLIKE {sql_literal(_HOST)} THEN concat({scheme}, '://', {user}, _bare) END"
+    host = sql_let(f"lower(regexp_replace({authority}, '^.*@', ''))", "_host", sql_let(bare, "_bare", whole))
+    return f"CASE WHEN {scheme} IN ('http', 'https') THEN {host} END"
+
+
+@cache
+def _sql_parse_base() -> str:
+    def part(pattern: str) -> str:
+        return f"regexp_extract(_url, {sql_literal(pattern)}, 1)"
+
+    start = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
+    origin = sql_let(part(start + "([^/?#]*)"), "_authority", _sql_origin("_scheme", "_authority"))
+    whole = (
+        f"named_struct('scheme', _scheme, 'origin', {origin}, 'path', {part(start + '[^/?#]*([^?#]*)')}, "
+        f"'query', {part('^[^?#]*([?][^#]*)')})"
+    )
+    return "_url -> " + sql_let(f"lower({part(SCHEME)})", "_scheme", whole)
 
 
 def parse_base(url: Column) -> Column:
     """STRUCT of the parts of a page's own URL that relative links need."""
-    scheme = F.lower(F.regexp_extract(url, SCHEME, 1))
-    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
-    return F.struct(
-        scheme.alias("scheme"),
-        _origin(scheme, authority).alias("origin"),
-        F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1).alias("path"),
-        F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1).alias("query"),
-    )
+    return apply_sql(url, _sql_parse_base())
 
 
-def percent_encode(text: Column, unsafe: str) -> Column:
+def _sql_percent(text: str, unsafe: str) -> str:
     """Percent-encode the UTF-8 bytes of every character in the ``unsafe`` class."""
-    encoded = F.array_join(
-        F.transform(
-            F.split(text, ""),
-            lambda ch: F.when(
-                ch.rlike(unsafe), F.regexp_replace(F.hex(F.encode(ch, "UTF-8")), "(..)", "%$1")
-            ).otherwise(ch),
-        ),
-        "",
-    )
-    return F.when(text.rlike(unsafe), encoded).otherwise(text)
+    encoded = "regexp_replace(hex(encode(_ch, 'UTF-8')), '(..)', '%$1')"
+    each = f"_ch -> CASE WHEN _ch RLIKE {sql_literal(unsafe)} THEN {encoded} ELSE _ch END"
+    whole = f"array_join(transform(split(_text, ''), {each}), '')"
+    return sql_let(text, "_text", f"CASE WHEN _text RLIKE {sql_literal(unsafe)} THEN {whole} ELSE _text END")
 
 
-def remove_dot_segments(path: Column) -> Column:
+def _sql_without_dots(path: str) -> str:
     """Resolve ``.`` and ``..`` in a path that starts with a slash."""
-    up = r"^(?:\.|%2[eE]){2}$"
-    here = r"^(?:\.|%2[eE])$"
-
-    def step(done: Column, segment: Column) -> Column:
-        return (
-            F.when(segment.rlike(up), F.regexp_replace(done, "/[^/]*$", ""))
-            .when(segment.rlike(here), done)
-            .otherwise(F.concat(done, F.lit("/"), segment))
-        )
-
-    dotted = r"/(?:\.|%2[eE]){1,2}(?:/|$)"
-    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
-    walked = F.aggregate(segments, F.lit(""), step)
+    up, here = sql_literal(r"^(?:\.|%2[eE]){2}$"), sql_literal(r"^(?:\.|%2[eE])$")
+    step = (
+        f"CASE WHEN _segment RLIKE {up} THEN regexp_replace(_done, '/[^/]*$', '') "
+        f"WHEN _segment RLIKE {here} THEN _done ELSE concat(_done, '/', _segment) END"
+    )
+    walked = f"aggregate(split(regexp_replace(_path, '^/', ''), '/'), '', (_done, _segment) -> {step})"
     # A path that ends in a dot segment names a directory.
-    ends = F.when(path.rlike(r"/(?:\.|%2[eE]){1,2}$"), F.lit("/")).otherwise(F.lit(""))
-    return F.when(path.rlike(dotted), F.concat(walked, ends)).otherwise(path)
+    ends = rf"CASE WHEN _path RLIKE {sql_literal(r'/(?:\.|%2[eE]){1,2}$')} THEN '/' ELSE '' END"
+    dotted = sql_literal(r"/(?:\.|%2[eE]){1,2}(?:/|$)")
+    return sql_let(path, "_path", f"CASE WHEN _path RLIKE {dotted} THEN concat({walked}, {ends}) ELSE _path END")
 
 
 def resolve_url(href: Column, base: Column) -> Column:
@@ -110,71 +107,54 @@ def resolve_url(href: Column, base: Column) -> Column:
     segments resolved, unsafe characters percent-encoded). Other schemes are returned as they
     are. Null when nothing can be resolved. Hosts outside ASCII are not converted.
     """
-    clean = F.translate(href, "\t\n\r", "")
+    return apply_sql(F.struct(href.alias("href"), base.alias("base")), _sql_resolve())
 
-    def dispatch(text: Column) -> Column:
-        return (
-            F.when(text.rlike(_ABSOLUTE_PLAIN), text)
-            .when(
-                text.rlike(_ROOTED_PLAIN),
-                F.concat(base["origin"], percent_encode(text, _PATH_UNSAFE)),
-            )
-            .otherwise(_resolve_any(text, base))
-        )
 
-    return let(clean, dispatch)
+@cache
+def _sql_resolve() -> str:
+    rooted = f"concat(_in.base.origin, {_sql_percent('_href', _PATH_UNSAFE)})"
+    dispatch = (
+        f"CASE WHEN _href RLIKE {sql_literal(_ABSOLUTE_PLAIN)} THEN _href "
+        f"WHEN _href RLIKE {sql_literal(_ROOTED_PLAIN)} THEN {rooted} ELSE {_sql_resolve_any()} END"
+    )
+    return "_in -> " + sql_let("translate(_in.href, '\t\n\r', '')", "_href", dispatch)
 
 
-def _resolve_any(text: Column, base: Column) -> Column:
+def _sql_resolve_any() -> str:
     """The general case; each stage binds its pieces so that none is computed twice."""
+    base, scheme = "_in.base", sql_literal(SCHEME)
+
+    def piece(pattern: str) -> str:
+        return f"regexp_extract(_after, {sql_literal(pattern)}, 1)"
 
-    def without_scheme(text: Column) -> Column:
-        return F.struct(
-            F.lower(F.regexp_extract(text, SCHEME, 1)).alias("scheme"),
-            F.regexp_replace(text, SCHEME, "").alias("after"),
-        )
-
-    def cut(p: Column) -> Column:
-        return F.struct(
-            p["scheme"].alias("scheme"),
-            F.translate(F.regexp_extract(p["after"], r"^([^?#]*)", 1), "\\", "/").alias("path"),
-            F.regexp_extract(p["after"], r"(?s)^[^?#]*(\?[^#]*)", 1).alias("query"),
-            F.regexp_extract(p["after"], r"(?s)(#.*)$", 1).alias("fragment"),
-        )
-
-    def placed(p: Column) -> Column:
-        own = p["scheme"] != ""
-        # An http(s) reference always names its host, however many slashes it has.
-        names_host = own | p["path"].startswith("//")
-        path = (
-            F.when(names_host, F.regexp_replace(p["path"], "^/*[^/]*", ""))
-            .when(p["path"].startswith("/"), p["path"])
-            .when(p["path"] == "", base["path"])
-            .otherwise(F.concat(F.regexp_replace(base["path"], "[^/]*$", ""), p["path"]))
-        )
-        inherits_query = ~own & (p["path"] == "") & (p["query"] == "")
-        return F.struct(
-            F.when(own, p["scheme"]).otherwise(base["scheme"]).alias("scheme"),
-            F.when(names_host, F.regexp_extract(p["path"], "^/*([^/]*)", 1)).alias("authority"),
-            F.regexp_replace(path, "^(?!/)", "/").alias("path"),
-            F.when(inherits_query, base["query"]).otherwise(p["query"]).alias("query"),
-            p["fragment"].alias("fragment"),
-        )
-
-    def serialise(u: Column) -> Column:
-        own_origin = _origin(u["scheme"], u["authority"])
-        return F.concat(
-            F.when(u["authority"].isNull(), base["origin"]).otherwise(own_origin),
-            percent_encode(remove_dot_segments(u["path"]), _PATH_UNSAFE),
-            percent_encode(u["query"], _QUERY_UNSAFE),
-            percent_encode(u["fragment"], _FRAGMENT_UNSAFE),
-        )
-
-    def finish(p: Column) -> Column:
-        foreign = (p["scheme"] != "") & ~p["scheme"].isin("http", "https")
-        return F.when(foreign, text).otherwise(let(placed(p), serialise))
-
-    return let(let(without_scheme(text), cut), finish)
+    cut = (
+        rf"named_struct('path', translate({piece('^([^?#]*)')}, {sql_literal(chr(92))}, '/'), "
+        rf"'query', {piece(r'(?s)^[^?#]*(\?[^#]*)')}, 'fragment', {piece('(?s)(#.*)$')})"
+    )
+    # An http(s) reference always names its host, however many slashes it has.
+    own = "_scheme <> ''"
+    names_host = f"({own} OR startswith(_p.path, '//'))"
+    path = (
+        f"CASE WHEN {names_host} THEN regexp_replace(_p.path, '^/*[^/]*', '') "
+        f"WHEN startswith(_p.path, '/') THEN _p.path WHEN _p.path = '' THEN {base}.path "
+        f"ELSE concat(regexp_replace({base}.path, '[^/]*$', ''), _p.path) END"
+    )
+    inherits_query = f"NOT ({own}) AND _p.path = '' AND _p.query = ''"
+    placed = (
+        f"named_struct('scheme', CASE WHEN {own} THEN _scheme ELSE {base}.scheme END, "
+        f"'authority', CASE WHEN {names_host} THEN regexp_extract(_p.path, '^/*([^/]*)', 1) END, "
+        f"'path', regexp_replace({path}, '^(?!/)', '/'), "
+        f"'query', CASE WHEN {inherits_query} THEN {base}.query ELSE _p.query END, 'fragment', _p.fragment)"
+    )
+    origin = f"CASE WHEN _u.authority IS NULL THEN {base}.origin ELSE {_sql_origin('_u.scheme', '_u.authority')} END"
+    whole = (
+        f"concat({origin}, {_sql_percent(_sql_without_dots('_u.path'), _PATH_UNSAFE)}, "
+        f"{_sql_percent('_u.query', _QUERY_UNSAFE)}, {_sql_percent('_u.fragment', _FRAGMENT_UNSAFE)})"
+    )
+    foreign = "_scheme <> '' AND NOT _scheme IN ('http', 'https')"
+    web = sql_let(sql_let(f"regexp_replace(_href, {scheme}, '')", "_after", cut), "_p", sql_let(placed, "_u", whole))
+    result = f"CASE WHEN {foreign} THEN _href ELSE {web} END"
+    return sql_let(f"lower(regexp_extract(_href, {scheme}, 1))", "_scheme", result)
 
 
 def is_web_url(url: Column) -> Column:
@@ -200,42 +180,55 @@ def is_feed_noise(title: Column, url: Column) -> Column:
     )
 
 
+def _sql_mime_extension(mime: str) -> str:
+    return f"coalesce(try_element_at({sql_map(dict(MIME_EXTENSIONS))}, lower({mime})), '{DEFAULT_EXTENSION}')"
+
+
 def mime_extension(mime: Column) -> Column:
     """Extension for an image MIME type, ``.img`` when unknown."""
-    return F.coalesce(
-        lookup(dict(MIME_EXTENSIONS), F.lower(mime)), F.lit(DEFAULT_EXTENSION)
-    )
+    return apply_sql(mime, f"_mime -> {_sql_mime_extension('_mime')}")
+
+
+def sql_url_extension() -> str:
+    path = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
+    ext = rf"regexp_extract(regexp_extract(_url, {sql_literal(path)}, 1), {sql_literal(r'(\.[^./\:]+)$')}, 1)"
+    long = f"_ext = '' OR length(_ext) > {MAX_EXTENSION_LENGTH}"
+    return "_url -> " + sql_let(ext, "_ext", f"CASE WHEN {long} THEN '{DEFAULT_EXTENSION}' ELSE _ext END")
 
 
 def url_extension(url: Column) -> Column:
     """Extension of the last path segment; ``.img`` when missing or over-long."""
-    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
-    ext = F.regexp_extract(path, r"(\.[^./\\:]+)$", 1)
-    return F.when(
-        (ext == "") | (F.length(ext) > MAX_EXTENSION_LENGTH), F.lit(DEFAULT_EXTENSION)
-    ).otherwise(ext)
+    return apply_sql(url, sql_url_extension())
 
 
-def decode_data_url(src: Column) -> Column:
-    """STRUCT<bytes, ext> of a ``data:`` URL; null when it cannot be decoded."""
-    comma = F.locate(",", src)
-    meta = F.regexp_extract(src, "^([^,]*),", 1)
-    payload = F.substr(src, comma + 1)
-    mime = F.split(F.coalesce(F.get(F.split(meta, ":"), F.lit(1)), F.lit("")), ";")
+@cache
+def sql_data_url() -> str:
+    payload = "substr(_src, locate(',', _src) + 1)"
     # A '%' that starts no escape is text, and '+' is never a blank here.
-    escaped = F.regexp_replace(payload, "%(?![0-9A-Fa-f]{2})", "%25")
-    unescaped = F.try_url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B")))
-    content = F.when(
-        meta.rlike("(?i);base64$"),
-        F.try_to_binary(payload, F.lit("base64")),
-    ).otherwise(F.encode(unescaped, "UTF-8"))
-    decoded = F.struct(
-        content.alias("bytes"), mime_extension(F.get(mime, F.lit(0))).alias("ext")
+    escaped = f"regexp_replace({payload}, '%(?![0-9A-Fa-f]{{2}})', '%25')"
+    content = (
+        f"CASE WHEN _meta RLIKE '(?i);base64$' THEN try_to_binary({payload}, 'base64') "
+        f"ELSE encode(try_url_decode(replace({escaped}, '+', '%2B')), 'UTF-8') END"
     )
-    return F.when((comma > 1) & content.isNotNull(), decoded)
+    mime = "get(split(coalesce(get(split(_meta, ':'), 1), ''), ';'), 0)"
+    result = f"named_struct('bytes', _bytes, 'ext', {_sql_mime_extension(mime)})"
+    found = f"CASE WHEN locate(',', _src) > 1 AND _bytes IS NOT NULL THEN {result} END"
+    return "_src -> " + sql_let("regexp_extract(_src, '^([^,]*),', 1)", "_meta", sql_let(content, "_bytes", found))
+
+
+def decode_data_url(src: Column) -> Column:
+    """STRUCT<bytes, ext> of a ``data:`` URL; null when it cannot be decoded."""
+    return apply_sql(src, sql_data_url())
+
+
+def sql_image_url(src: str, base: str) -> str:
+    """Absolute http(s) address of an image; null when it has none."""
+    resolved = sql_apply(f"named_struct('href', {src}, 'base', {base})", _sql_resolve())
+    absolute = f"CASE WHEN NOT ({sql_is_blank(src)}) THEN {resolved} END"
+    return sql_let(absolute, "_url", "CASE WHEN _url RLIKE '(?i)^https?://' THEN _url END")
 
 
 def absolute_image_url(src: Column, base: Column) -> Column:
     """Absolute http(s) address of an image; null when it has none."""
-    absolute = F.when(~is_blank(src), resolve_url(src, base))
-    return let(absolute, lambda url: F.when(is_web_url(url), url))
+    given = F.struct(src.alias("src"), base.alias("base"))
+    return apply_sql(given, f"_image -> {sql_image_url('_image.src', '_image.base')}")

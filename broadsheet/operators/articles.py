@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from broadsheet import fixed
 from broadsheet.functions.categories import flags_to_chinese
-from broadsheet.functions.core import is_blank, let, or_empty, ws_trim
+from broadsheet.functions.core import apply_sql, is_blank, let, or_empty, sql_apply, sql_let
+from broadsheet.functions.core import ws_trim
 from broadsheet.functions.html import (
-    decode_entities,
-    element_inner,
+    element,
     image_sources,
     nth_text,
-    strip_invisible,
-    strip_tags,
+    plain_text,
     texts_of,
     visible_text,
 )
 from broadsheet.functions.text import cut_text, default_text, utf16_length
 from broadsheet.functions.timefmt import friendly_time, parse_publish_time
-from broadsheet.functions.urls import (
-    absolute_image_url,
-    decode_data_url,
-    parse_base,
-    url_extension,
-)
+from broadsheet.functions.urls import parse_base, sql_data_url, sql_image_url, sql_url_extension
+from broadsheet.operators.links import with_events
 
 NO_RESULT = "No result"
 MANIFEST_ARRAY = (
@@ -33,7 +31,7 @@ MANIFEST_ARRAY = (
 
 
 def meta_from_spans(meta: Column) -> Column:
-    """STRUCT<publish_time, publisher> from the first and third span of a meta block."""
+    """STRUCT<publish_time, publisher> from the first and third span of a meta block's events."""
 
     return F.struct(
         F.coalesce(nth_text(meta, "span", 0), F.lit("")).alias("publish_time"),
@@ -42,12 +40,12 @@ def meta_from_spans(meta: Column) -> Column:
 
 
 def meta_from_info(info: Column) -> Column:
-    """STRUCT<publish_time, publisher> from an info line.
+    """STRUCT<publish_time, publisher> from the events of an info line.
 
     The time leads the line, or is what stands before the source mark; the first link is the
     publisher.
     """
-    text = ws_trim(decode_entities(strip_tags(info)))
+    text = ws_trim(plain_text(info))
 
     def fields(line: Column) -> Column:
         mark = F.locate(fixed.SOURCE_MARK, line)
@@ -61,88 +59,76 @@ def meta_from_info(info: Column) -> Column:
     )
 
 
-def extract_root(pages: DataFrame) -> DataFrame:
-    """Add ``root_html``: what lies inside the main element, null when the page has none."""
-    inner = element_inner(
-        strip_invisible(F.col("html")), F.col("rule.root_open"), F.col("rule.root_tag")
-    )
-    return pages.withColumn("root_html", inner)
-
-
 def extract_fields(pages: DataFrame) -> DataFrame:
     """Text, images, raw publish time and publisher of pages that carry a ``rule``.
 
-    A missing root gives empty text and no images. A page that was never fetched keeps its
-    row, with ``error`` set.
+    A page is cut into events once; the main element and its meta block are parts of them. A
+    missing root gives empty text and no images. A page that was never fetched keeps its row,
+    with ``error`` set.
     """
-    meta = element_inner(F.col("root_html"), F.col("rule.meta_open"), F.lit("div"))
-    found = extract_root(pages).withColumn(
-        "meta",
-        F.when(F.col("rule.meta_kind") == "spans", meta_from_spans(meta)).when(
-            F.col("rule.meta_kind") == "info", meta_from_info(meta)
+    root = element(F.col("events"), F.col("rule.root_open"), F.lower("rule.root_tag"))
+    meta = element(F.col("_root"), F.col("rule.meta_open"), F.lit("div"))
+    found = with_events(pages).withColumn("_root", root).withColumn("_meta", meta).withColumn(
+        "_fields",
+        F.when(F.col("rule.meta_kind") == "spans", meta_from_spans(F.col("_meta"))).when(
+            F.col("rule.meta_kind") == "info", meta_from_info(F.col("_meta"))
         ),
     )
     return found.select(
         *[c for c in pages.columns if c not in ("html", "rule")],
-        F.coalesce(visible_text(F.col("root_html")), F.lit("")).alias("content"),
-        F.coalesce(image_sources(F.col("root_html")), F.array().cast("array<string>")).alias(
+        F.coalesce(visible_text(F.col("_root")), F.lit("")).alias("content"),
+        F.coalesce(image_sources(F.col("_root")), F.array().cast("array<string>")).alias(
             "images"
         ),
-        F.col("meta.publish_time").alias("publish_time_text"),
-        F.col("meta.publisher").alias("publisher_text"),
+        F.col("_fields.publish_time").alias("publish_time_text"),
+        F.col("_fields.publisher").alias("publisher_text"),
+        F.col("rule.zone").alias("zone_text"),
         F.when(F.col("html").isNull(), NO_RESULT).alias("error"),
     )
 
 
+@cache
+def _sql_manifest() -> str:
+    inline = "_src RLIKE '(?i)^data:'"
+    data = sql_let(f"CASE WHEN {inline} THEN _src END", "_given", sql_apply("_given", sql_data_url()))
+    url = f"CASE WHEN NOT ({inline}) THEN {sql_image_url('_src', '_in.base')} END"
+    ext = f"coalesce(_data.ext, {sql_apply('_address', sql_url_extension())})"
+    one = f"named_struct('src', _src, 'url', _address, 'ext', {ext}, 'bytes', _data.bytes)"
+    each = sql_let(data, "_data", sql_let(url, "_address", one))
+    kept = (
+        f"filter(transform(array_distinct(_in.images), _src -> {each}), "
+        "_p -> _p.url IS NOT NULL OR _p.bytes IS NOT NULL)"
+    )
+    return (
+        f"_in -> transform({kept}, (_p, _i) -> named_struct('n', _i + 1, 'src', _p.src, 'url', _p.url, "
+        "'ext', _p.ext, 'bytes', _p.bytes, 'file_name', format_string('img_%03d%s', _i + 1, _p.ext)))"
+    )
+
+
 def image_manifest(images: Column, base: Column) -> Column:
     """ARRAY<STRUCT<n, src, url, ext, bytes, file_name>> of the images that can be kept.
 
     Inline images are decoded; the others resolve to an http(s) address. What can do neither
     is skipped, and numbers run without gaps over what is kept. All inside the page's row.
     """
+    return apply_sql(F.struct(images.alias("images"), base.alias("base")), _sql_manifest())
 
-    def one(src: Column, page: Column) -> Column:
-        inline = src.rlike("(?i)^data:")
-        decoded = F.when(inline, decode_data_url(src))
-        url = F.when(~inline, absolute_image_url(src, page))
-        parts = F.struct(src.alias("src"), decoded.alias("data"), url.alias("url"))
-        return let(parts, described)
-
-    def described(p: Column) -> Column:
-        return F.struct(
-            p["src"].alias("src"),
-            p["url"].alias("url"),
-            F.coalesce(p["data"]["ext"], url_extension(p["url"])).alias("ext"),
-            p["data"]["bytes"].alias("bytes"),
-        )
-
-    kept = F.filter(
-        let(base, lambda page: F.transform(F.array_distinct(images), lambda s: one(s, page))),
-        lambda p: p["url"].isNotNull() | p["bytes"].isNotNull(),
-    )
-    return F.transform(
-        kept,
-        lambda p, i: F.struct(
-            (i + 1).alias("n"),
-            p["src"],
-            p["url"],
-            p["ext"],
-            p["bytes"],
-            F.format_string("img_%03d%s", i + 1, p["ext"]).alias("file_name"),
-        ),
-    )
 
+def articles(pages: DataFrame, now: datetime | Column | None = None) -> DataFrame:
+    """Article rows from pages with a ``rule``; failed pages stay as rows with ``error``.
 
-def articles(pages: DataFrame) -> DataFrame:
-    """Article rows from pages with a ``rule``; failed pages stay as rows with ``error``."""
+    Publish times without an offset are read in the rule's zone; a date without a year is taken
+    in the year of ``now``, by default the moment the query starts, as that zone has it.
+    """
     fields = extract_fields(pages)
     manifest = image_manifest(F.col("images"), parse_base(F.col("url")))
     kept = [c for c in fields.columns if not c.endswith("_text")]
+    moment = F.current_timestamp() if now is None else now if isinstance(now, Column) else F.lit(now)
     return fields.select(
         *kept,
         utf16_length(F.col("content")).alias("text_length"),
         F.size(manifest).cast("long").alias("image_count"),
-        parse_publish_time(F.col("publish_time_text")).alias("publish_time"),
+        parse_publish_time(F.col("publish_time_text"), moment, F.col("zone_text")).alias("publish_time"),
         F.when(~is_blank(F.col("publisher_text")), F.col("publisher_text")).alias("publisher"),
     )
 

@@ -33,8 +33,11 @@ class SiteRule:
     root_class: str | None = None
     meta_kind: str | None = None  # 'spans', 'info' or none
     meta_class: str | None = None
+    zone: str | None = None  # of publish times without an offset; the session's by default
 
 
+# Both built-in sites publish in China's time.
+CHINA = "Asia/Shanghai"
 GENERIC = SiteRule("generic", banned_titles=PORTAL_BANNED_TITLES)
 NETEASE = SiteRule(
     "netease",
@@ -44,6 +47,7 @@ NETEASE = SiteRule(
     root_class="post_main",
     meta_kind="info",
     meta_class="post_info",
+    zone=CHINA,
 )
 TOUTIAO = SiteRule(
     "toutiao",
@@ -55,6 +59,7 @@ TOUTIAO = SiteRule(
     root_class="article-content",
     meta_kind="spans",
     meta_class="article-meta",
+    zone=CHINA,
 )
 SITE_RULES = [TOUTIAO, NETEASE]
 
@@ -72,6 +77,7 @@ def rule_struct(rule: SiteRule) -> Column:
         F.lit(open_tag(rule.root_tag, rule.root_class)).alias("root_open"),
         F.lit(rule.meta_kind).cast("string").alias("meta_kind"),
         F.lit(meta).cast("string").alias("meta_open"),
+        F.lit(rule.zone).cast("string").alias("zone"),
     )
 
 

@@ -31,9 +31,9 @@ def test_site_pages(spark):
     rows = {r.page_id: r for r in A.articles(with_rules(pages)).collect()}
     assert len(rows) == 6
     assert rows[1].content == "标题\n2024-01-05 08:30:12 来源: 新华社 x\n正文"
-    assert (rows[1].publisher, str(rows[1].publish_time)) == ("新华社", "2024-01-05 08:30:12")
+    assert (rows[1].publisher, str(rows[1].publish_time)) == ("新华社", "2024-01-05 00:30:12")  # 08:30 in China
     assert rows[1].images == ["/a/b.jpg"] and rows[1].image_count == 1
-    assert rows[2].publisher == "某报" and str(rows[2].publish_time) == "2024-01-06 10:00:00"
+    assert rows[2].publisher == "某报" and str(rows[2].publish_time) == "2024-01-06 02:00:00"
     assert rows[2].image_count == 2
     assert (rows[3].error, rows[3].text_length, rows[3].images) == ("No result", 0, [])
     assert rows[4].publish_time is None and rows[4].publisher is None
