@@ -30,13 +30,24 @@ _ABSOLUTE_PLAIN = rf"^https?://[a-z0-9.\-]+(?=/){_NO_DOTS}[A-Za-z0-9/?#!$&()*+,\
 _ROOTED_PLAIN = rf"^/(?!/){_NO_DOTS}[^?#\\]*$"
 
 
-# Hex digits of a URL's hash that name its bucket: 256 buckets.
-BUCKET_DIGITS = 2
+# A bucket is named by the first hex digits of a URL's hash, one to this many of them.
+BUCKET_DIGITS = 3
 
 
-def url_bucket(url: Column) -> Column:
+def _url_hash(url: Column) -> Column:
+    return F.lpad(F.lower(F.hex(F.xxhash64(url))), 16, "0")
+
+
+def url_bucket(url: Column, digits: int) -> Column:
     """Bucket of a URL: a prefix of its 64-bit hash. URLs compare with case."""
-    return F.substring(F.lpad(F.lower(F.hex(F.xxhash64(url))), 16, "0"), 1, BUCKET_DIGITS)
+    if not 1 <= digits <= BUCKET_DIGITS:
+        raise ValueError(f"a bucket has 1 to {BUCKET_DIGITS} digits")
+    return F.substring(_url_hash(url), 1, digits)
+
+
+def url_buckets(url: Column) -> Column:
+    """All buckets that may hold a URL, whatever number of digits they are named by."""
+    return F.array(*[F.substring(_url_hash(url), 1, n) for n in range(1, BUCKET_DIGITS + 1)])
 
 
 def host_of(url: Column) -> Column:

@@ -9,46 +9,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from broadsheet.functions.core import is_blank, let, or_empty
-from broadsheet.functions.html import anchors, base_href, strip_invisible
+from broadsheet.functions.html import anchors, base_href, tag_events
 from broadsheet.functions.urls import has_prefix, is_feed_noise, is_web_url
-from broadsheet.functions.urls import parse_base, resolve_url
+from broadsheet.functions.urls import parse_base, resolve_url, url_buckets
+from broadsheet.schemas import URL_BUCKET
 
 LINK_ARRAY = "array<struct<pos:int,title:string,url:string>>"
 
 
-def anchor_array(html: Column) -> Column:
+def anchor_array(events: Column) -> Column:
     """ARRAY<STRUCT<pos, title, href>> of a page's anchors, titles normalised and not blank."""
     return F.transform(
-        anchors(strip_invisible(html)),
+        anchors(events),
         lambda a, i: F.struct(i.alias("pos"), a["title"].alias("title"), a["href"].alias("href")),
     )
 
 
-def document_base(html: Column, url: Column) -> Column:
-    """Parts of the URL that relative addresses of a page are resolved against."""
+def with_events(pages: DataFrame) -> DataFrame:
+    """Add ``events`` of ``html``, cut once for all that is read off them."""
+    return pages.withColumn("events", tag_events(F.col("html")))
 
-    def given(target: Column) -> Column:
-        resolved = resolve_url(target, parse_base(url))
-        return parse_base(F.coalesce(F.when(is_web_url(resolved), resolved), url))
 
-    # Most pages have no such element: the page is searched for it only if its name occurs.
-    has = html.rlike(r"(?i)<base[\s/]")
-    return F.when(has, let(base_href(strip_invisible(html)), given)).otherwise(parse_base(url))
+def with_base(pages: DataFrame) -> DataFrame:
+    """Add ``base``, parts of the URL that relative addresses of a page with ``events`` go by.
+
+    Each step is a column of its own, so that none is computed or planned more than once.
+    """
+    own = pages.withColumns({"_own": parse_base(F.col("url")), "_target": base_href(F.col("events"))})
+    resolved = F.when(F.col("_target").isNotNull(), resolve_url(F.col("_target"), F.col("_own")))
+    found = own.withColumn("_resolved", resolved)
+    base = F.when(is_web_url(F.col("_resolved")), parse_base(F.col("_resolved"))).otherwise(F.col("_own"))
+    return found.withColumn("base", base).drop("_own", "_target", "_resolved")
 
 
 def resolve_array(found: Column, base: Column) -> Column:
     """The anchors with absolute http(s) URLs; the others are dropped."""
-    def resolved(base: Column) -> Column:
-        return F.transform(
-            found,
-            lambda a: F.struct(
-                a["pos"].alias("pos"),
-                a["title"].alias("title"),
-                resolve_url(a["href"], base).alias("url"),
-            ),
-        )
-
-    return F.filter(let(base, resolved), lambda link: is_web_url(link["url"]))
+    resolved = F.transform(
+        found,
+        lambda a: F.struct(
+            a["pos"].alias("pos"),
+            a["title"].alias("title"),
+            resolve_url(a["href"], base).alias("url"),
+        ),
+    )
+    return F.filter(resolved, lambda link: is_web_url(link["url"]))
 
 
 def site_links(links: Column, prefixes: Column, feed_noise: Column) -> Column:
@@ -98,11 +102,11 @@ def drop_banned(links: Column, banned: Column) -> Column:
 
 def with_links(pages: DataFrame) -> DataFrame:
     """Add ``links``, the page's final links, to pages that carry a ``rule``."""
-    found = resolve_array(anchor_array(F.col("html")), document_base(F.col("html"), F.col("url")))
+    found = resolve_array(anchor_array(F.col("events")), F.col("base"))
     wanted = site_links(found, F.col("rule.prefixes"), F.col("rule.feed_noise"))
-    return pages.withColumn(
+    return with_base(with_events(pages)).withColumn(
         "links", drop_banned(first_per_url(wanted), F.col("rule.banned"))
-    )
+    ).drop("events", "base")
 
 
 def explode_links(pages: DataFrame) -> DataFrame:
@@ -137,21 +141,36 @@ def dedup_across_pages(links: DataFrame, *order: str) -> DataFrame:
     return links.withColumn("_n", F.row_number().over(ranked)).filter("_n = 1").drop("_n")
 
 
+def known_among(known: DataFrame, urls: DataFrame) -> DataFrame:
+    """The distinct ``url`` of ``urls`` that are in ``known``, an archive or a key table.
+
+    Of a key table only the buckets that the URLs fall into are opened: the partition filter is a
+    runtime subquery over the URLs. The known side is cut down to the URLs before it is made
+    distinct, so where the URLs are few they are broadcast and the known side is not shuffled.
+    """
+    wanted = urls.select("url").filter(F.col("url").isNotNull())
+    if URL_BUCKET in known.columns:
+        # At most 16 + 256 + 4,096 names, however many URLs there are.
+        named = wanted.select(F.explode(url_buckets(F.col("url"))).alias("bucket"))
+        buckets = named.agg(F.collect_set("bucket")).scalar()
+        known = known.filter(F.array_contains(buckets, F.col(URL_BUCKET)))
+    held = known.select("url").filter(F.col("url").isNotNull())
+    return held.join(wanted, "url", "left_semi").distinct()
+
+
 def unknown_urls(
-    rows: DataFrame, archive: DataFrame, urls: DataFrame | None = None
+    rows: DataFrame, known: DataFrame, urls: DataFrame | None = None
 ) -> DataFrame:
-    """Rows whose URL is not archived yet; URLs compare with case.
+    """Rows whose URL is not known yet; URLs compare with case, blank ones are dropped.
 
-    Archived URLs are made distinct first: the partial aggregate removes copies before the
-    shuffle, and its partitioning is the one the anti join needs. Pass rows that are already
-    one per URL so that no key repeats on either side.
-
-    ``urls`` names the rows' URLs where they can be had without computing the rows. The archive
-    is then cut down to those first: a batch that is small next to the archive is broadcast,
-    and the archive's URL column is read without being shuffled.
+    ``known`` is the archive or its key table. ``urls`` names the rows' URLs where they can be had
+    without computing the rows. Pass rows that are already one per URL so that no key repeats on
+    either side.
     """
-    known = archive.select("url").filter(F.col("url").isNotNull())
-    if urls is not None:
-        known = known.join(urls.select("url"), "url", "left_semi")
     fresh = rows.filter(~is_blank(F.col("url")))
-    return fresh.join(known.distinct(), "url", "left_anti")
+    return fresh.join(known_among(known, fresh if urls is None else urls), "url", "left_anti")
+
+
+def fresh_urls(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """The distinct URLs of ``pages`` that are not known; no other column of the pages is read."""
+    return unknown_urls(pages.select("url").distinct(), known, pages.select("url"))

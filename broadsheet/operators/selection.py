@@ -10,7 +10,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from broadsheet.schemas import PARTITION_COLUMN
+from broadsheet.schemas import BUCKET_COLUMN, PARTITION_COLUMN, UNDATED
 
 
 def seeded_key(seed: int | str, key: Column) -> Column:
@@ -18,16 +18,27 @@ def seeded_key(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def _fetch(archive: DataFrame, picked: DataFrame) -> DataFrame:
-    """Full rows of a few picked keys of the stored archive.
+# Picks at most whose ids are put into the query, and whose keys are broadcast.
+_FEW = 1_000
 
-    Only narrow columns were read to pick. The rows themselves come from a second read of the
-    days the picks fall on; all other partitions are pruned when the query runs.
+
+def _fetch(archive: DataFrame, kept: DataFrame, n: int) -> DataFrame:
+    """Full rows of at most ``n`` picked keys of the stored archive.
+
+    Only narrow columns are read to pick, and the picks are checkpointed, so they are made once.
+    The rows come from a second read of the buckets that the picks fall into, at most ``n``; all
+    others are pruned when the query runs. The ids of few picks are pushed down to the files,
+    where rows are sorted by id.
     """
-    keys = ["id", "url", PARTITION_COLUMN]
-    days = picked.agg(F.collect_set(PARTITION_COLUMN).alias("days")).scalar()
-    on_days = archive.filter(F.array_contains(days, F.col(PARTITION_COLUMN)))
-    return on_days.join(picked.select(*keys), keys, "left_semi")
+    keys = ["id", "url", PARTITION_COLUMN, BUCKET_COLUMN]
+    place = F.struct(PARTITION_COLUMN, BUCKET_COLUMN)
+    places = kept.agg(F.collect_set(place)).scalar()
+    opened = archive.filter(F.array_contains(places, place))
+    wanted = kept.select(*keys)
+    if n > _FEW:
+        return opened.join(wanted, keys, "left_semi")
+    ids = [r.id for r in wanted.select("id").collect()]
+    return opened.filter(F.col("id").isin(ids)).join(F.broadcast(wanted), keys, "left_semi")
 
 
 def _is_stored(archive: DataFrame) -> bool:
@@ -37,7 +48,7 @@ def _is_stored(archive: DataFrame) -> bool:
 def _narrow(archive: DataFrame) -> DataFrame:
     if not _is_stored(archive):
         return archive
-    return archive.select("id", "url", "publish_time", PARTITION_COLUMN)
+    return archive.select("id", "url", "publish_time", PARTITION_COLUMN, BUCKET_COLUMN)
 
 
 def _newest_days(archive: DataFrame, n: int) -> DataFrame:
@@ -57,7 +68,9 @@ def latest(archive: DataFrame, n: int = 20) -> DataFrame:
     order = [F.desc_nulls_last("publish_time"), F.asc("id")]
     recent = _newest_days(archive, n) if _is_stored(archive) else archive
     top = _narrow(recent).orderBy(*order).limit(n)
-    return _fetch(archive, top).orderBy(*order).limit(n) if _is_stored(archive) else top
+    if not _is_stored(archive):
+        return top
+    return _fetch(archive, top.checkpoint(), n).orderBy(*order).limit(n)
 
 
 def unseen(archive: DataFrame, history: DataFrame) -> DataFrame:
@@ -74,7 +87,7 @@ def random_one_unseen(archive: DataFrame, history: DataFrame, seed: int | str) -
     enough = archive.select("id").limit(2).agg((F.count("*") > 1).alias("enough")).scalar()
     candidates = unseen(_narrow(archive), history).filter(enough)
     picked = candidates.orderBy(seeded_key(seed, F.col("id")), "id").limit(1)
-    return _fetch(archive, picked) if _is_stored(archive) else picked
+    return _fetch(archive, picked.checkpoint(), 1) if _is_stored(archive) else picked
 
 
 def random_batch_unseen(
@@ -87,26 +100,20 @@ def random_batch_unseen(
 ) -> DataFrame:
     """Exactly ``n`` random unseen rows at least ``min_age_days`` old, or none.
 
-    The guard counts the picked rows themselves (at most ``n``), so the candidates are read
-    once.
+    The candidates are read once: the picks are checkpointed, and the guard counts those.
     """
     if n <= 0:
         return archive.limit(0)
     moment = now if isinstance(now, Column) else F.lit(now)
     cutoff = moment - F.make_dt_interval(F.lit(max(0, min_age_days)))
     old = _narrow(archive).filter(F.col("publish_time") <= cutoff)
-    if _is_stored(archive):  # days after the cutoff are never opened
+    if _is_stored(archive):  # days after the cutoff are never opened, nor is that of undated rows
         last_day = F.to_date(F.to_utc_timestamp(cutoff, F.current_timezone()))
-        old = old.filter(F.col(PARTITION_COLUMN) <= last_day)
-    picked = (
-        unseen(old, history)
-        .orderBy(seeded_key(seed, F.col("id")), "id")
-        .limit(n)
-        .withColumn("_n", F.count("*").over(Window.partitionBy()))
-        .filter(F.col("_n") == n)
-        .drop("_n")
-    )
-    return _fetch(archive, picked) if _is_stored(archive) else picked
+        old = old.filter((F.col(PARTITION_COLUMN) <= last_day) & (F.col(PARTITION_COLUMN) != F.lit(UNDATED).cast("date")))
+    order = [seeded_key(seed, F.col("id")), F.col("id")]
+    picked = unseen(old, history).orderBy(*order).limit(n).checkpoint()
+    enough = picked.agg((F.count("*") == n).alias("enough")).scalar()
+    return (_fetch(archive, picked, n) if _is_stored(archive) else picked).filter(enough)
 
 
 def _bucket_cut(keyed: DataFrame, digits: int, wanted: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from broadsheet.functions.core import is_blank, keep_rows
@@ -16,12 +17,17 @@ from broadsheet.operators.classify import TextModel, classify_by_language
 from broadsheet.operators.links import (
     dedup_across_pages,
     explode_links,
+    fresh_urls,
+    known_among,
     unknown_urls,
     with_links,
 )
 from broadsheet.operators.rules import SITE_RULES, SiteRule, with_rules
 from broadsheet.schemas import ARCHIVE
-from broadsheet.sources.archive import append_archive, read_archive, url_id
+from broadsheet.sources.archive import append_archive, read_known, restore_known, url_id
+
+# URLs of a batch that are broadcast at most, in bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def page_links(pages: DataFrame, rules: Iterable[SiteRule] = SITE_RULES) -> DataFrame:
@@ -54,10 +60,7 @@ def gate_reasons(rows: DataFrame, archive: DataFrame) -> DataFrame:
     # Rows without a URL would all meet under one key; the join does not see them.
     blank = rows.filter(is_blank(F.col("url"))).withColumn("reject", F.lit("blank url"))
     named = rows.filter(~is_blank(F.col("url")))
-    known = (
-        archive.select("url").join(named.select("url"), "url", "left_semi")
-        .distinct().withColumn("_known", F.lit(True))
-    )
+    known = known_among(archive, named).withColumn("_known", F.lit(True))
     judged = named.join(known, "url", "left").withColumn(
         "reject", F.when(F.col("_known"), "known").when(F.col("text_length") == 0, "empty")
     )
@@ -65,35 +68,40 @@ def gate_reasons(rows: DataFrame, archive: DataFrame) -> DataFrame:
 
 
 def new_articles(
-    landed: DataFrame, archive: DataFrame, rules: Iterable[SiteRule] = SITE_RULES
+    landed: DataFrame,
+    known: DataFrame,
+    rules: Iterable[SiteRule] = SITE_RULES,
+    fresh: DataFrame | None = None,
 ) -> DataFrame:
     """Articles of landed pages that may be written, one per URL.
 
-    Pages whose URL is archived go first, on the URL alone, so a page that lands again is not
-    extracted again. What is left is extracted where it is; only article text is shuffled.
-    Of several pages of one URL the first with text is taken.
+    Which URLs are new is decided on the URLs alone (``fresh`` if that is known already); HTML is
+    read once, for the pages of those. What is left is extracted where it is; only article text
+    is shuffled. Of several pages of one URL the first with text is taken.
     """
-    fresh = unknown_urls(landed, archive, landed)
-    found = keep_rows(articles(with_rules(fresh, rules)), F.col("text_length") > 0)
+    urls = fresh_urls(landed, known) if fresh is None else fresh
+    pages = landed.join(urls.select("url"), "url", "left_semi").select(*landed.columns)
+    found = keep_rows(articles(with_rules(pages, rules)), F.col("text_length") > 0)
     return dedup_across_pages(found, "page_id")
 
 
 def archive_rows(
     landed: DataFrame,
-    archive: DataFrame,
+    known: DataFrame,
     models: dict[str, TextModel] | None = None,
     rules: Iterable[SiteRule] = SITE_RULES,
+    fresh: DataFrame | None = None,
 ) -> DataFrame:
     """Rows to append. Only articles that survive the gate are classified.
 
     Without models every category is 0. A label that has no flag counts as 0 too; it never
     stops the batch.
     """
-    fresh = new_articles(landed, archive, rules)
+    found = new_articles(landed, known, rules, fresh)
     if models:
-        labelled = classify_by_language(fresh, models, "title")
+        labelled = classify_by_language(found, models, "title")
     else:
-        labelled = fresh.withColumn("category", F.lit(0))
+        labelled = found.withColumn("category", F.lit(0))
     return labelled.select(
         url_id(F.col("url")).alias("id"),
         F.coalesce("title", F.lit("")).alias("title"),
@@ -113,6 +121,22 @@ def ingest_batch(
     models: dict[str, TextModel] | None = None,
     rules: Iterable[SiteRule] = SITE_RULES,
 ) -> None:
-    """Append what is new. Running the same batch again adds nothing."""
-    archive = read_archive(landed.sparkSession, archive_path)
-    append_archive(archive_rows(landed, archive, models, rules), archive_path)
+    """Append what is new. Running the same batch again adds nothing.
+
+    New URLs are decided first, against the key table's buckets, and kept. If they are at most
+    ``BROADCAST_BYTES`` they are broadcast, so HTML is filtered where it is read and never
+    shuffled; beyond that the join is left to Spark. A batch without new URLs ends there.
+    """
+    spark = landed.sparkSession
+    restore_known(spark, archive_path)
+    known = read_known(spark, archive_path)
+    fresh = fresh_urls(landed, known).persist(StorageLevel.DISK_ONLY)
+    try:
+        # Every row weighs its text and some 64 bytes of a hash table.
+        size = fresh.agg(F.sum(F.octet_length("url") + 64)).first()[0]
+        if size is None:
+            return
+        kept = F.broadcast(fresh) if size <= BROADCAST_BYTES else fresh
+        append_archive(archive_rows(landed, known, models, rules, kept), archive_path)
+    finally:
+        fresh.unpersist()

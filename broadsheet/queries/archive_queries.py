@@ -104,13 +104,21 @@ def random_batch_unseen_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "random_batch_too_few",
     f"""WITH {_SQL_CANDIDATES}
-SELECT id, {_SHOW_TIME} FROM candidates WHERE (SELECT count(*) FROM candidates) >= 10000000""",
+SELECT asked, count(id) AS n FROM (VALUES (10), (10000000)) AS asked(asked)
+LEFT JOIN (SELECT id, row_number() OVER (ORDER BY id) AS k, count(*) OVER () AS all_rows FROM candidates)
+  ON k <= asked AND all_rows >= asked
+GROUP BY asked""",
 )
 def random_batch_too_few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """More rows asked for than there are: nothing comes back."""
+    """Ten rows are there; of more rows than there are nothing comes back."""
     now = F.lit(NOW).cast("timestamp")
     archive, history = _archive(spark, sf_dir), _history(spark, sf_dir)
-    return _shown(random_batch_unseen(archive, history, now, 42, n=10_000_000))
+    counts = [
+        random_batch_unseen(archive, history, now, 42, n=asked)
+        .agg(F.count("*").alias("n")).select(F.lit(asked).alias("asked"), "n")
+        for asked in (10, 10_000_000)
+    ]
+    return counts[0].unionByName(counts[1])
 
 
 @query(
@@ -220,6 +228,59 @@ def archive_latest_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("url", utc_iso(F.col("publish_time")).alias("publish_time"))
 
 
+def _stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the stored archive; the id is that of the event."""
+    path = _new_folder(spark, "archive")
+    key = F.col("id").cast("string")
+    rows = _archive(spark, sf_dir).select(
+        "id",
+        F.concat(F.lit("event "), key).alias("title"),
+        F.concat(F.lit("https://example.org/e/"), key).alias("url"),
+        F.length(key).cast("long").alias("text_length"),
+        F.lit(0).cast("long").alias("image_count"),
+        "publish_time",
+        F.lit(None).cast("string").alias("publisher"),
+        F.concat(F.lit("content of "), key).alias("content"),
+        F.lit(0).alias("category"),
+    )
+    append_archive(rows, path)
+    return read_archive(spark, path)
+
+
+_SQL_STORED = f"SELECT id, {_SHOW_TIME}, 'https://example.org/e/' || id AS url, 'content of ' || id AS content"
+
+
+def _shown_stored(rows: DataFrame) -> DataFrame:
+    time = F.date_format("publish_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return rows.select("id", time.alias("publish_time"), "url", "content")
+
+
+@query(
+    "random_one_stored",
+    f"""WITH {SQL_ARCHIVE}
+{_SQL_STORED} FROM archive
+WHERE user_id <> 7 AND (SELECT count(*) FROM archive) > 1
+ORDER BY md5('42:' || id), id LIMIT 1""",
+)
+def random_one_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One random unseen row of the stored table, fetched from its bucket."""
+    rows = random_one_unseen(_stored_events(spark, sf_dir), _history(spark, sf_dir), 42)
+    return _shown_stored(rows)
+
+
+@query(
+    "random_batch_stored",
+    f"""WITH {_SQL_CANDIDATES}
+{_SQL_STORED} FROM candidates WHERE (SELECT count(*) FROM candidates) >= 10
+ORDER BY md5('42:' || id), id LIMIT 10""",
+)
+def random_batch_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random batch of the stored table, fetched from at most ten buckets."""
+    now = F.lit(NOW).cast("timestamp")
+    rows = random_batch_unseen(_stored_events(spark, sf_dir), _history(spark, sf_dir), now, 42)
+    return _shown_stored(rows)
+
+
 @query(
     "text_export",
     """

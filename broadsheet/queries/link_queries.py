@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from broadsheet.fixed import PORTAL_BANNED_TITLES
@@ -21,6 +23,8 @@ from broadsheet.operators.links import (
     page_status,
     resolve_array,
     unknown_urls,
+    with_base,
+    with_events,
 )
 from broadsheet.operators.rules import SiteRule, with_rules
 from broadsheet.plans.ingest import page_links
@@ -37,6 +41,10 @@ from broadsheet.queries.common import (
     table,
 )
 
+from broadsheet.schemas import ARCHIVE
+from broadsheet.session import shared_dir
+from broadsheet.sources.archive import append_archive, read_known, url_id
+
 ANCHOR_ARRAY = "array<struct<pos:int,title:string,href:string>>"
 
 # Markup the fixture pages lack: other quoting, upper case, hidden, empty and nameless anchors.
@@ -64,14 +72,14 @@ def _sql_extra() -> str:
     return "html || " + " || ".join(pieces)
 
 
-def _found_links() -> Column:
-    return resolve_array(anchor_array(F.col("html")), parse_base(F.col("url")))
+def _with_found(pages: DataFrame, name: str = "links") -> DataFrame:
+    """Resolved anchors of each page, before any selection."""
+    cut = with_base(with_events(pages))
+    return cut.withColumn(name, resolve_array(anchor_array(F.col("events")), F.col("base")))
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resolved anchors of all pages, before any per-page selection."""
-    pages = table(spark, sf_dir, "pages").withColumn("links", _found_links())
-    return explode_links(pages)
+    return explode_links(_with_found(table(spark, sf_dir, "pages")))
 
 
 _HREF = r"""(?is)^<a\s(?:[^>"'']|"[^"]*"|''[^'']*'')*?href=("[^"]*"|''[^'']*''|[^\s>]+)"""
@@ -103,8 +111,8 @@ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos,
 FROM clean WHERE title <> '' AND href <> ''""",
 )
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").withColumn("html", _extra_markup())
-    return pages.select("page_id", F.inline(or_empty(anchor_array(F.col("html")), ANCHOR_ARRAY)))
+    pages = with_events(table(spark, sf_dir, "pages").withColumn("html", _extra_markup()))
+    return pages.select("page_id", F.inline(or_empty(anchor_array(F.col("events")), ANCHOR_ARRAY)))
 
 
 # References of every kind, made from each page's id.
@@ -295,7 +303,7 @@ SELECT page_id, pos, title, url FROM (
 )
 def banned_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.transform(
-        _found_links(),
+        F.col("all_links"),
         lambda link: F.struct(
             link["pos"],
             F.when(F.col("page_id") % 10 == 0, "首页").otherwise(link["title"]).alias("title"),
@@ -303,7 +311,7 @@ def banned_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     banned = literal_array([*PORTAL_BANNED_TITLES, *_BANNED_SAMPLE])
-    pages = table(spark, sf_dir, "pages").withColumn("found", found)
+    pages = _with_found(table(spark, sf_dir, "pages"), "all_links").withColumn("found", found)
     return explode_links(pages.withColumn("links", drop_banned(F.col("found"), banned)))
 
 
@@ -322,7 +330,7 @@ SELECT page_id, pos, title, url FROM twice
 QUALIFY row_number() OVER (PARTITION BY page_id, lower(url) ORDER BY pos) = 1""",
 )
 def dedup_first_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").withColumn("found", _found_links())
+    pages = _with_found(table(spark, sf_dir, "pages"), "found")
     shouted = F.transform(
         "found",
         lambda link: F.struct(
@@ -377,7 +385,7 @@ def page_status_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("html"),
         F.when(key % 7 == 0, 404).otherwise(200).alias("http_status"),
     )
-    found = pages.withColumn("links", _found_links())
+    found = _with_found(pages)
     return found.select(
         "page_id",
         page_status(F.col("links"), F.col("html"), F.col("http_status")).alias("status"),
@@ -404,6 +412,17 @@ def known_url_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _new_links(spark, sf_dir)
 
 
+@query("known_url_stored", f"WITH {_SQL_NEW} SELECT page_id, pos, title, url FROM fresh")
+def known_url_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same against the key table of a stored archive."""
+    path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    links = _links(spark, sf_dir)
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in ARCHIVE if f.name not in ("id", "url")}
+    archived = links.filter(F.col("page_id") % 3 == 0).select(url_id(F.col("url")).alias("id"), "url")
+    append_archive(archived.withColumns(nothing), path)
+    return unknown_urls(dedup_across_pages(links), read_known(spark, path))
+
+
 @query(
     "new_links_by_host",
     f"""WITH {_SQL_NEW}
@@ -498,7 +517,7 @@ SELECT page_id, pos,
 FROM anchors""",
 )
 def link_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    rows = pages.select("page_id", F.inline(or_empty(anchor_array(F.col("html")), ANCHOR_ARRAY)))
+    pages = with_events(table(spark, sf_dir, "pages"))
+    rows = pages.select("page_id", F.inline(or_empty(anchor_array(F.col("events")), ANCHOR_ARRAY)))
     title = F.when(F.col("pos") % 4 == 0, None).otherwise(F.col("title"))
     return rows.select("page_id", "pos", link_text(title, F.col("href")).alias("shown"))

@@ -39,14 +39,23 @@ ARCHIVE = T.StructType(
         T.StructField("category", T.IntegerType()),
     ]
 )
-# The archive is laid out by day so that reads by time and key fetches prune.
+# The archive is laid out by day, so that reads by time prune, and within a day by a bucket of
+# the id, so that a fetch of a few rows opens no more buckets than rows.
 PARTITION_COLUMN = "publish_date"
+BUCKET_COLUMN = "id_bucket"
 ARCHIVE_STORED = T.StructType(
-    ARCHIVE.fields + [T.StructField(PARTITION_COLUMN, T.DateType())]
+    ARCHIVE.fields
+    + [T.StructField(PARTITION_COLUMN, T.DateType()), T.StructField(BUCKET_COLUMN, T.IntegerType())]
 )
 # Day used for rows without a publish time: a partition value is never null.
 UNDATED = "1900-01-01"
 
+# URLs of the archive beside it, in buckets by the first digits of the URL's hash.
+URL_BUCKET = "url_bucket"
+KNOWN_URLS = T.StructType(
+    [T.StructField("url", T.StringType()), T.StructField(URL_BUCKET, T.StringType())]
+)
+
 CORPUS = T.StructType(
     [T.StructField("text", T.StringType()), T.StructField("label", T.StringType())]
 )

@@ -1,24 +1,35 @@
-"""The archive table: Parquet, one directory per publish day."""
+"""The archive table: Parquet, a directory per publish day and id bucket, and its URL keys."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from broadsheet.files import delete, exists, mark
 from broadsheet.functions.categories import flags_to_text
 from broadsheet.functions.text import archive_key
 from broadsheet.functions.timefmt import utc_iso
-from broadsheet.schemas import ARCHIVE, ARCHIVE_STORED, PARTITION_COLUMN, UNDATED
+from broadsheet.functions.urls import BUCKET_DIGITS, url_bucket
+from broadsheet.schemas import ARCHIVE, ARCHIVE_STORED, BUCKET_COLUMN, KNOWN_URLS
+from broadsheet.schemas import PARTITION_COLUMN, UNDATED, URL_BUCKET
 
+# Buckets of ids within a day.
+ID_BUCKETS = 4
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The archive, empty when nothing has been written yet."""
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     try:
-        return spark.read.schema(ARCHIVE_STORED).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], ARCHIVE_STORED)
+        return spark.createDataFrame([], schema)
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """The archive, empty when nothing has been written yet."""
+    return _read(spark, path, ARCHIVE_STORED)
 
 
 def publish_day(publish_time: Column) -> Column:
@@ -36,32 +47,108 @@ def url_id(url: Column) -> Column:
     return F.xxhash64(url)
 
 
+def id_bucket(row_id: Column) -> Column:
+    """Bucket of a row within its day."""
+    return F.pmod(F.xxhash64(row_id), F.lit(ID_BUCKETS)).cast("int")
+
+
 def append_archive(rows: DataFrame, path: str) -> None:
-    """Append archive rows.
+    """Append archive rows, and their URLs to the key table.
 
     The rebalance hint lets adaptive execution split a day that holds most of the rows and
-    merge days that hold few, so files come out at the advisory size either way.
+    merge days that hold few, so files come out at the advisory size either way. Rows are sorted
+    by id, so a fetch by ids skips the row groups without them. The rows are kept on the executors' disks between the two writes; a lost executor's part is computed again.
+
+    A mark stands beside the table from before the first write until after the second. What finds
+    it later (``restore_known``) adds the keys that were not written.
     """
-    stored = rows.select(*ARCHIVE.fieldNames()).withColumn(
-        PARTITION_COLUMN, publish_day(F.col("publish_time"))
-    )
+    spark = rows.sparkSession
+    restore_known(spark, path)
+    stored = rows.select(*ARCHIVE.fieldNames()).withColumns(
+        {PARTITION_COLUMN: publish_day(F.col("publish_time")), BUCKET_COLUMN: id_bucket(F.col("id"))}
+    ).persist(StorageLevel.DISK_ONLY)
+    try:
+        mark(spark, unfinished_path(path))
+        (
+            stored.hint("rebalance", F.col(PARTITION_COLUMN), F.col(BUCKET_COLUMN))
+            .sortWithinPartitions(PARTITION_COLUMN, BUCKET_COLUMN, "id")
+            .write.mode("append")
+            .partitionBy(PARTITION_COLUMN, BUCKET_COLUMN)
+            .parquet(path)
+        )
+        append_known(stored, path)
+        delete(spark, unfinished_path(path))
+    finally:
+        stored.unpersist()
+
+
+def known_path(path: str) -> str:
+    """The key table of an archive."""
+    return f"{path.rstrip('/')}-known"
+
+
+def unfinished_path(path: str) -> str:
+    """The mark of an append that has not ended."""
+    return f"{path.rstrip('/')}-unfinished"
+
+
+def read_known(spark: SparkSession, path: str) -> DataFrame:
+    """``url, url_bucket`` of every row of the archive at ``path``."""
+    return _read(spark, known_path(path), KNOWN_URLS)
+
+
+def append_known(rows: DataFrame, path: str, digits: int = 1) -> None:
+    """Add the URLs of archive rows to the key table.
+
+    A bucket is named by ``digits`` hex digits of the URL's hash. An append goes into the 16
+    coarse ones, so a batch leaves few files; ``compact_known`` spreads them over finer ones.
+    Readers open a URL's buckets of every length.
+    """
+    keys = rows.select("url").filter(F.col("url").isNotNull())
     (
-        stored.hint("rebalance", F.col(PARTITION_COLUMN))
+        keys.withColumn(URL_BUCKET, url_bucket(F.col("url"), digits))
+        .hint("rebalance", F.col(URL_BUCKET))
         .write.mode("append")
-        .partitionBy(PARTITION_COLUMN)
-        .parquet(path)
+        .partitionBy(URL_BUCKET)
+        .parquet(known_path(path))
     )
 
 
+def restore_known(spark: SparkSession, path: str, digits: int = 1) -> None:
+    """Add missing keys after an append that was cut short, or to an archive that never had any.
+
+    Does nothing in the usual case. One job may write to an archive at a time.
+    """
+    never = not exists(spark, known_path(path)) and exists(spark, path)
+    if never or exists(spark, unfinished_path(path)):
+        urls = read_archive(spark, path).select("url").distinct()
+        append_known(urls.join(read_known(spark, path).select("url"), "url", "left_anti"), path, digits)
+        delete(spark, unfinished_path(path))
+
+
+def compact_known(spark: SparkSession, path: str, digits: int = BUCKET_DIGITS) -> None:
+    """Write the key table anew from the archive, in finer buckets of few files.
+
+    With three digits a URL's bucket holds one key in 4,096, and every append since then one in 16
+    of its own. If this is cut short, the mark makes the next append restore what is missing.
+    """
+    mark(spark, unfinished_path(path))
+    delete(spark, known_path(path))
+    restore_known(spark, path, digits)
+
+
 def truncate_archive(spark: SparkSession, path: str) -> None:
-    """Delete every row; the table stays readable with its schema."""
-    empty = spark.createDataFrame([], ARCHIVE_STORED)
-    (
-        empty.write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy(PARTITION_COLUMN)
-        .parquet(path)
-    )
+    """Delete every row and key; the table stays readable with its schema."""
+    for target, schema in ((path, ARCHIVE_STORED), (known_path(path), KNOWN_URLS)):
+        parts = [PARTITION_COLUMN, BUCKET_COLUMN] if schema is ARCHIVE_STORED else [URL_BUCKET]
+        (
+            spark.createDataFrame([], schema)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .partitionBy(*parts)
+            .parquet(target)
+        )
+    delete(spark, unfinished_path(path))
 
 
 def with_text_forms(archive: DataFrame) -> DataFrame:

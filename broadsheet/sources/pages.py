@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from broadsheet.schemas import PAGES
 
+FILES_PER_BATCH = 1000
 # Pages as a fetcher lands them: ``title`` is the text of the link that was followed.
 LANDED = T.StructType(PAGES.fields + [T.StructField("title", T.StringType())])
 
@@ -18,12 +19,12 @@ def read_pages(spark: SparkSession, path: str, http_status: bool = False) -> Dat
     return spark.read.schema(schema).parquet(path)
 
 
-def read_landed(spark: SparkSession, path: str) -> DataFrame:
-    """Landed article pages."""
-    return spark.read.schema(LANDED).parquet(path)
+def read_landed(spark: SparkSession, *paths: str) -> DataFrame:
+    """Landed article pages of folders or files."""
+    return spark.read.schema(LANDED).parquet(*paths)
 
 
-def stream_landed(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+def stream_landed(spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """Landed article pages as a stream over the files that arrive in ``path``."""
     return (
         spark.readStream.schema(LANDED)
