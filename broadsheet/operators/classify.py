@@ -25,7 +25,7 @@ from broadsheet.operators.corpus import (
     with_tokens,
 )
 from broadsheet.operators.selection import split_exact
-from broadsheet.session import ensure_checkpoint_dir
+from broadsheet.session import kept
 
 _META = "meta"
 _VOCAB = "vocab"
@@ -132,8 +132,7 @@ def train(
         ready = indexer.transform(PipelineModel(features).transform(training))
         # Every iteration reads these rows again: from the shared folder they survive a lost
         # executor, and tasks do not carry the plan that made them.
-        ensure_checkpoint_dir(rows.sparkSession)
-        ready = ready.select("features", "label_idx").checkpoint()
+        ready = kept(ready.select("features", "label_idx"))
         fitted = LogisticRegression(
             featuresCol="features",
             labelCol="label_idx",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from broadsheet.fixed import ENGLISH, PAD_ID, UNK_ID, UNK_TOKEN
 from broadsheet.functions.core import let, or_empty
 from broadsheet.functions.text import tokens
+from broadsheet.operators.lookup import hot_keys, lookup
 
 MAX_SEQUENCE = 50
 # Largest vocabulary that is looked up inside each row instead of by a join.
@@ -124,31 +125,27 @@ def encode(tokenised: DataFrame, words: list[str], length: int) -> DataFrame:
 
 
 def encode_by_join(
-    tokenised: DataFrame, vocab: DataFrame, length: int, key: str = "id", salts: int = 64
+    tokenised: DataFrame, vocab: DataFrame, length: int, key: str = "id"
 ) -> DataFrame:
-    """``encode`` for a vocabulary of any size, joined on (token, salt).
+    """``encode`` for a vocabulary of any size, joined on the token.
 
-    Only the first ``length`` tokens of a row are exploded. A salt from the row's key spreads
-    a token that a third of the rows share over ``salts`` tasks; the vocabulary is repeated
-    once per salt.
+    Only the first ``length`` tokens of a row are exploded. The vocabulary's own counts say which
+    tokens are hot: those are looked up in a broadcast table of at most a thousand, wherever
+    their rows are, and every other token is joined with its one row. A vocabulary without
+    ``cnt`` counts the tokens first.
     """
-    salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
-    words = tokenised.select(
-        key, salt.alias("salt"), F.posexplode(F.slice("tokens", 1, length)).alias("pos", "token")
-    )
-    copies = vocab.select(
-        "token",
-        F.col("id").alias("token_id"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-    )
-    found = words.join(copies, ["token", "salt"], "left").select(
-        key, "pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id")
-    )
-    entries = F.array_sort(F.collect_list(F.struct("pos", "token_id")))
-    ids = found.groupBy(key).agg(
+    words = tokenised.select(key, F.posexplode(F.slice("tokens", 1, length)).alias("pos", "token"))
+    if "cnt" in vocab.columns:
+        counts = vocab.select("token", F.col("cnt").alias("count"))
+    else:
+        counts = words.groupBy("token").count()
+    ids = vocab.select("token", F.col("id").alias("token_id"))
+    found = lookup(words, ids, "token", "token_id", hot_keys(counts, "token"), F.struct(key, "pos"))
+    entries = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id"))))
+    listed = found.groupBy(key).agg(
         fit_length(F.transform(entries, lambda e: e["token_id"]), length).alias("ids")
     )
-    return tokenised.join(ids, key)
+    return tokenised.join(listed, key)
 
 
 def evaluation(scored: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from broadsheet.operators.lookup import hot_keys, lookup
 from broadsheet.schemas import BUCKET_COLUMN, PARTITION_COLUMN, UNDATED
+from broadsheet.session import kept
 
 
 def seeded_key(seed: int | str, key: Column) -> Column:
@@ -22,7 +24,7 @@ def seeded_key(seed: int | str, key: Column) -> Column:
 _FEW = 1_000
 
 
-def _fetch(archive: DataFrame, kept: DataFrame, n: int) -> DataFrame:
+def _fetch(archive: DataFrame, picks: DataFrame, n: int) -> DataFrame:
     """Full rows of at most ``n`` picked keys of the stored archive.
 
     Only narrow columns are read to pick, and the picks are checkpointed, so they are made once.
@@ -32,9 +34,9 @@ def _fetch(archive: DataFrame, kept: DataFrame, n: int) -> DataFrame:
     """
     keys = ["id", "url", PARTITION_COLUMN, BUCKET_COLUMN]
     place = F.struct(PARTITION_COLUMN, BUCKET_COLUMN)
-    places = kept.agg(F.collect_set(place)).scalar()
+    places = picks.agg(F.collect_set(place)).scalar()
     opened = archive.filter(F.array_contains(places, place))
-    wanted = kept.select(*keys)
+    wanted = picks.select(*keys)
     if n > _FEW:
         return opened.join(wanted, keys, "left_semi")
     ids = [r.id for r in wanted.select("id").collect()]
@@ -70,7 +72,7 @@ def latest(archive: DataFrame, n: int = 20) -> DataFrame:
     top = _narrow(recent).orderBy(*order).limit(n)
     if not _is_stored(archive):
         return top
-    return _fetch(archive, top.checkpoint(), n).orderBy(*order).limit(n)
+    return _fetch(archive, kept(top), n).orderBy(*order).limit(n)
 
 
 def unseen(archive: DataFrame, history: DataFrame) -> DataFrame:
@@ -87,7 +89,7 @@ def random_one_unseen(archive: DataFrame, history: DataFrame, seed: int | str) -
     enough = archive.select("id").limit(2).agg((F.count("*") > 1).alias("enough")).scalar()
     candidates = unseen(_narrow(archive), history).filter(enough)
     picked = candidates.orderBy(seeded_key(seed, F.col("id")), "id").limit(1)
-    return _fetch(archive, picked.checkpoint(), 1) if _is_stored(archive) else picked
+    return _fetch(archive, kept(picked), 1) if _is_stored(archive) else picked
 
 
 def random_batch_unseen(
@@ -111,7 +113,7 @@ def random_batch_unseen(
         last_day = F.to_date(F.to_utc_timestamp(cutoff, F.current_timezone()))
         old = old.filter((F.col(PARTITION_COLUMN) <= last_day) & (F.col(PARTITION_COLUMN) != F.lit(UNDATED).cast("date")))
     order = [seeded_key(seed, F.col("id")), F.col("id")]
-    picked = unseen(old, history).orderBy(*order).limit(n).checkpoint()
+    picked = kept(unseen(old, history).orderBy(*order).limit(n))
     enough = picked.agg((F.count("*") == n).alias("enough")).scalar()
     return (_fetch(archive, picked, n) if _is_stored(archive) else picked).filter(enough)
 
@@ -189,7 +191,9 @@ def random_batch_per_reader(
 
     All readers share one seeded order, so a batch is the first ``n`` places of it that the
     reader has not seen, and the k-th of them is place k plus the number of seen places before
-    it. No reader is paired with the whole archive.
+    it. No reader is paired with the whole archive. The order is made once, from two reads of
+    the archive's narrow columns, and kept as a checkpoint. Articles that very many readers have
+    seen, and places that very many readers are given, are looked up as hot keys.
 
     Seen places are counted per chunk of ``CHUNK`` places. Chunks seen in full, and chunks after
     the n-th unseen place, need no more than their count; only the at most ``n`` others per
@@ -202,13 +206,14 @@ def random_batch_per_reader(
     moment = now if isinstance(now, Column) else F.lit(now)
     cutoff = moment - F.make_dt_interval(F.lit(max(0, min_age_days)))
     old = archive.filter(F.col("publish_time") <= cutoff).select("id")
-    placed = with_place(old, seed)
-    size = old.agg(F.count("*").alias("n")).scalar()
+    placed = kept(with_place(old, seed).select("id", "place"))
+    size = placed.agg(F.count("*").alias("n")).scalar()
 
+    past = history.select("reader", "id").distinct()
+    read_by = history.groupBy("id").count()
     seen = (
-        history.select("reader", "id")
-        .distinct()
-        .join(placed, "id")
+        lookup(past, placed, "id", "place", hot_keys(read_by, "id"), F.struct("reader", "id"))
+        .filter(F.col("place").isNotNull())
         .select("reader", "place", F.floor((F.col("place") - 1) / CHUNK).alias("chunk"))
     )
     start = F.col("chunk") * CHUNK
@@ -250,7 +255,9 @@ def random_batch_per_reader(
         .filter(F.lit(n) + F.coalesce(f"b{n}", F.lit(0)) <= F.col("size"))
         .select("reader", F.inline(picks))
     )
-    return batches.join(placed.select("id", "place"), "place").select("reader", "pick", "id")
+    given = hot_keys(batches.groupBy("place").count(), "place")
+    picked = lookup(batches, placed, "place", "id", given, F.struct("reader", "pick"))
+    return picked.select("reader", "pick", "id")
 
 
 def with_place(rows: DataFrame, seed: int | str) -> DataFrame:

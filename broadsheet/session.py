@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution coalesces small shuffles and splits skewed join partitions.
 DEFAULTS = {
@@ -58,3 +58,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = shared_dir(spark)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows`` computed once and kept in the shared folder, where a lost executor loses nothing."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()

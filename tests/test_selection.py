@@ -131,3 +131,22 @@ def test_no_plan_pairs_rows(spark, archive):
     for frame in frames:
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_one_article_read_by_everybody(spark, archive, tmp_path):
+    """The article is a hot key of the history, and the first places are hot for all readers."""
+    order = sorted(old_ids(archive, 7), key=lambda i: key(9, i))
+    readers = spark.range(4_000).select(F.concat(F.lit("r"), "id").alias("reader"))
+    history = readers.withColumn("id", F.lit(order[1]).cast("long"))
+    history = history.unionByName(readers.filter("reader = 'r5'").withColumn("id", F.lit(order[0]).cast("long")))
+    path = str(tmp_path / "archive")
+    archive.write.parquet(path)
+    rows = S.random_batch_per_reader(spark.read.parquet(path), history, NOW, 9, 7, 3)
+    # The archive was read to make the order; the batches come from the order that was kept.
+    assert "publish_time" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {(r.reader, r.pick): r.id for r in rows.collect()}
+    assert len(got) == 12_000
+    usual = [order[0], order[2], order[3]]
+    for reader in ("r0", "r77", "r3999"):
+        assert [got[reader, k] for k in (1, 2, 3)] == usual
+    assert [got["r5", k] for k in (1, 2, 3)] == order[2:5]
