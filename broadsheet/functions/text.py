@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
+from zlib import crc32
+
 from pyspark.sql import Column, functions as F
 
 from broadsheet.fixed import CHINESE, ENGLISH, UNKNOWN, UNK_TOKEN, SAFE_NAME_LENGTH
 from broadsheet.fixed import UNSAFE_NAME_CHARS, UNTITLED
-from broadsheet.functions.core import collapse_ws, is_blank, let, ws_trim
+from broadsheet.functions.core import collapse_ws, is_blank, let, sql_apply, sql_let, sql_literal
+from broadsheet.functions.core import ws_trim
 
 HAN = "[一-鿿]"
 LATIN = "[A-Za-z]"
+# Han characters of a word and of a run that is read at once, at most.
+LONGEST_WORD, LONGEST_RUN = 4, 256
+# What a character outside the lexicon costs more than its rarest word, in thousandths of a nat.
+UNKNOWN_COST = 1_000
+_BUCKETS = 4096
 # One token per match: a Han character with its neighbour, one that has none, or a run. Pairs
 # overlap because the match itself takes one character only.
 _HAN_TOKEN = f"(?=({HAN}{{2}}|(?<!{HAN}){HAN}|[a-z0-9]+))(?:{HAN}|[a-z0-9]+)"
@@ -75,15 +85,55 @@ def latin_token_count(text: Column) -> Column:
 def han_tokens(text: Column) -> Column:
     """Overlapping Han pairs, single Han characters standing alone, Latin and digit runs.
 
-    Stands in for a dictionary segmenter: word boundaries are not guessed, every adjacent
-    pair is a token.
+    For texts without a lexicon: word boundaries are not guessed, every adjacent pair is a token.
     """
     return or_unknown(F.regexp_extract_all(F.lower(text), F.lit(_HAN_TOKEN), F.lit(1)))
 
 
-def tokens(text: Column, language: str) -> Column:
-    """Tokens under one language's rule."""
-    return han_tokens(text) if language == CHINESE else latin_tokens(text)
+def _sql_segment(lexicon: Mapping[str, int]) -> str:
+    """The words of a run of Han characters ``_run``, as a SQL lambda.
+
+    ``_best`` holds, for every length of the run's beginning, the best sum of scores and the length of
+    its last word; of equal sums the longer last word wins. The words are read off backwards.
+    """
+    buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
+    for word, score in lexicon.items():
+        buckets[crc32(word.encode()) % _BUCKETS][word] = score
+    table = f"from_json({sql_literal(json.dumps(buckets, ensure_ascii=False))}, 'array<map<string,int>>')"
+    unknown = min(lexicon.values(), default=0) - UNKNOWN_COST
+    word = "substr(_run, _i - _n + 1, _n)"
+    known = f"try_element_at(get({table}, cast(pmod(crc32(cast(_word AS binary)), {_BUCKETS}) AS int)), _word)"
+    score = sql_let(word, "_word", f"coalesce({known}, CASE WHEN _n = 1 THEN {unknown} END)")
+    ways = f"transform(sequence(1, least(_i, {LONGEST_WORD})), _n -> named_struct('sum', get(_best, _i - _n).sum + {score}, 'n', _n))"
+    step = f"(_best, _i) -> concat(_best, array(array_max(filter({ways}, _way -> _way.sum IS NOT NULL))))"
+    best = f"aggregate(sequence(1, length(_run)), array(named_struct('sum', 0L, 'n', 0)), {step})"
+    last = "get(_found, _s.at).n"
+    back = (
+        f"(_s, _k) -> CASE WHEN _s.at = 0 THEN _s ELSE named_struct('at', _s.at - {last}, "
+        f"'words', concat(array(substr(_run, _s.at - {last} + 1, {last})), _s.words)) END"
+    )
+    start = "named_struct('at', length(_run), 'words', cast(array() AS array<string>))"
+    words = f"aggregate(sequence(1, length(_run)), {start}, {back}, _s -> _s.words)"
+    return "_run -> " + sql_let(best, "_found", words)
+
+
+def han_words(text: Column, lexicon: Mapping[str, int]) -> Column:
+    """Words of a lexicon that make up the Han runs at the greatest sum of scores, and Latin runs.
+
+    Every single character is a word, so any run can be read; one that the lexicon lacks costs more
+    than its rarest word. Runs are cut after ``LONGEST_RUN`` characters, so the cost is linear. An
+    empty lexicon takes runs apart into characters.
+    """
+    pieces = F.regexp_extract_all(F.lower(text), F.lit(f"({HAN}{{1,{LONGEST_RUN}}}|[a-z0-9]+)"), F.lit(1))
+    words = f"_piece -> CASE WHEN _piece RLIKE '^{HAN}' THEN {sql_apply('_piece', _sql_segment(lexicon))} ELSE array(_piece) END"
+    return or_unknown(F.flatten(F.call_function("transform", pieces, F.expr(words))))
+
+
+def tokens(text: Column, language: str, lexicon: Mapping[str, int] | None = None) -> Column:
+    """Tokens under one language's rule; Chinese ones are words where a lexicon is given."""
+    if language != CHINESE:
+        return latin_tokens(text)
+    return han_tokens(text) if lexicon is None else han_words(text, lexicon)
 
 
 def utf16_length(text: Column) -> Column:

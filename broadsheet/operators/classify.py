@@ -11,6 +11,7 @@ from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from broadsheet.files import delete, exists
 from broadsheet.fixed import CATEGORY_NONE, CHINESE, ENGLISH, UNKNOWN
 from broadsheet.functions.categories import label_to_flag
 from broadsheet.functions.text import detect_language, tokens
@@ -24,12 +25,14 @@ from broadsheet.operators.corpus import (
     vocabulary_words,
     with_tokens,
 )
+from broadsheet.operators.lexicon import lexicon_scores
 from broadsheet.operators.selection import split_exact
 from broadsheet.session import kept
 
 _META = "meta"
 _VOCAB = "vocab"
 _MODEL = "model"
+_LEXICON = "lexicon"
 
 
 @dataclass
@@ -42,10 +45,15 @@ class TextModel:
     language: str
     loss: float | None = None
     accuracy: float | None = None
+    lexicon: dict[str, int] | None = None  # Han words; character pairs without
+
+    def tokens(self, text: Column) -> Column:
+        """Tokens as they were when the model was trained."""
+        return tokens(text, self.language, self.lexicon)
 
     def predict(self, rows: DataFrame, text: str = "text", output: str = "predicted") -> DataFrame:
         """Add the highest-scoring label."""
-        tokenised = rows.withColumn("tokens", tokens(F.col(text), self.language))
+        tokenised = rows.withColumn("tokens", self.tokens(F.col(text)))
         return self.predict_tokens(tokenised, output).drop("tokens")
 
     def predict_tokens(self, tokenised: DataFrame, output: str = "predicted") -> DataFrame:
@@ -66,6 +74,11 @@ class TextModel:
             "language string, labels array<string>, loss double, accuracy double",
         )
         meta.coalesce(1).write.mode("overwrite").json(f"{path}/{_META}")
+        if self.lexicon is None:
+            delete(spark, f"{path}/{_LEXICON}")
+        else:
+            words = spark.createDataFrame(list(self.lexicon.items()), "word string, score int")
+            words.coalesce(1).write.mode("overwrite").parquet(f"{path}/{_LEXICON}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> TextModel:
@@ -84,6 +97,7 @@ class TextModel:
             meta["language"] or CHINESE,
             meta["loss"],
             meta["accuracy"],
+            lexicon_scores(spark.read.parquet(f"{path}/{_LEXICON}")) if exists(spark, f"{path}/{_LEXICON}") else None,
         )
 
 
@@ -97,9 +111,12 @@ def train(
     tol: float = 1e-4,
     id_column: str = "id",
     max_labels: int = 10_000,
+    lexicon: dict[str, int] | None = None,
 ) -> TextModel:
     """Fit a multinomial classifier on ``id, text, label`` rows.
 
+    With a ``lexicon`` (``learn_lexicon``) Chinese texts are read as words, without as pairs.
+
     Features are token shares (the mean over a text's tokens), so word order is not used. One
     fifth of the rows is held out by an exact seeded split and scored at the end. The driver
     holds the vocabulary (at most ``vocab_size``, itself at most ``LOCAL_VOCABULARY``) and the
@@ -109,7 +126,7 @@ def train(
         raise ValueError(f"vocab_size is at most {LOCAL_VOCABULARY}")
     checked = require_rows(rows, 2, "Dataset must have at least 2 samples.")
     # Tokens are wanted by the counts, the fit and the evaluation.
-    prepared = with_tokens(split_exact(checked, seed, id_column), language).persist()
+    prepared = with_tokens(split_exact(checked, seed, id_column), language, lexicon=lexicon).persist()
     try:
         training = prepared.filter(F.col("split") == "train")
         vocab = vocabulary(token_frequency(training), vocab_size)
@@ -160,7 +177,7 @@ def train(
             list(enumerate(words, start=2)), "id int, token string"
         )
         return TextModel(
-            stages, kept_vocab, labels, language, quality["loss"], quality["accuracy"]
+            stages, kept_vocab, labels, language, quality["loss"], quality["accuracy"], lexicon
         )
     finally:
         prepared.unpersist()
@@ -193,7 +210,7 @@ def classify_by_language(
     current = rows.withColumn("language", detect_language(F.col(text), threshold))
     raw = F.lit(None).cast("string")
     for language, model in models.items():
-        own = F.when(F.col("language") == language, tokens(F.col(text), language))
+        own = F.when(F.col("language") == language, model.tokens(F.col(text)))
         blank = F.array().cast("array<string>")
         current = current.withColumn("tokens", F.coalesce(own, blank))
         name = f"_label_{language}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,9 +19,11 @@ LOCAL_VOCABULARY = 100_000
 _BUCKETS = 4096
 
 
-def with_tokens(rows: DataFrame, language: str = ENGLISH, text: str = "text") -> DataFrame:
+def with_tokens(
+    rows: DataFrame, language: str = ENGLISH, text: str = "text", lexicon: Mapping[str, int] | None = None
+) -> DataFrame:
     """Add ``tokens``. Compute once and persist when several operators need them."""
-    return rows.withColumn("tokens", tokens(F.col(text), language))
+    return rows.withColumn("tokens", tokens(F.col(text), language, lexicon))
 
 
 def token_frequency(tokenised: DataFrame) -> DataFrame:

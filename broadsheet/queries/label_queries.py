@@ -11,12 +11,14 @@ from broadsheet.functions.text import (
     han_count,
     han_ratio,
     han_tokens,
+    han_words,
     latin_count,
     latin_tokens,
     short_hash,
 )
 from broadsheet.functions.timefmt import from_utc_iso, utc_iso
 from broadsheet.operators.classify import label_rows
+from broadsheet.operators.lexicon import learn_lexicon, lexicon_scores
 from broadsheet.queries.common import instant, query, table
 
 HAN = "[一-鿿]"
@@ -137,6 +139,82 @@ def han_tokens_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("words").alias("n"), joined.alias("tokens"))
 
 
+_SQL_LEXICON = f"""{SQL_MIXED},
+runs AS (
+  SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{HAN}{{1,256}}')) AS run FROM mixed) GROUP BY run
+),
+spans AS (
+  SELECT n, substr(run, pos, size) AS gram, CASE WHEN pos > 1 THEN substr(run, pos - 1, 1) ELSE '' END AS l,
+         substr(run, pos + size, 1) AS r
+  FROM runs, unnest(range(1, len(run) + 1)) AS p(pos), unnest(range(1, 5)) AS s(size) WHERE pos + size - 1 <= len(run)
+),
+lefts AS (SELECT gram, l, sum(n)::DOUBLE AS n FROM spans GROUP BY gram, l),
+rights AS (SELECT gram, r, sum(n)::DOUBLE AS n FROM spans GROUP BY gram, r),
+stats AS (
+  SELECT gram, cnt, hl, hr FROM (SELECT gram, sum(n) AS cnt, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS hl FROM lefts GROUP BY gram)
+  JOIN (SELECT gram, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS hr FROM rights GROUP BY gram) USING (gram)
+),
+total AS (SELECT sum(cnt) AS total FROM stats WHERE len(gram) = 1),
+firm AS (
+  SELECT f.gram, f.cnt
+  FROM stats f, unnest(range(1, len(f.gram))) AS c(pos), total
+  JOIN stats a ON a.gram = substr(f.gram, 1, pos) JOIN stats b ON b.gram = substr(f.gram, pos + 1)
+  WHERE f.cnt >= 5 AND least(f.hl, f.hr) >= 0.7
+  GROUP BY f.gram, f.cnt HAVING min(ln(f.cnt * total / (a.cnt * b.cnt))) >= 1.0
+),
+lexicon AS (
+  SELECT gram AS word, cnt::BIGINT AS cnt, round(1000 * ln(cnt / total))::INT AS score
+  FROM (SELECT * FROM firm UNION ALL SELECT gram, cnt FROM stats WHERE len(gram) = 1), total
+)"""
+
+
+@query("han_lexicon", f"WITH {_SQL_LEXICON} SELECT word, cnt, score FROM lexicon")
+def han_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words learned from all texts."""
+    return learn_lexicon(mixed_documents(spark, sf_dir))
+
+
+@query(
+    "han_words",
+    f"""WITH RECURSIVE {_SQL_LEXICON},
+floor AS (SELECT min(score) - 1000 AS floor FROM lexicon),
+walk(run, i, best) AS (
+  SELECT run, 0, [{{'sum': 0::BIGINT, 'n': 0}}] FROM runs
+  UNION ALL
+  SELECT run, i + 1, list_append(best, list_max(list_filter([
+      {{'sum': best[i + 1].sum + coalesce(a.score, floor), 'n': 1}}, {{'sum': best[i].sum + b.score, 'n': 2}},
+      {{'sum': best[i - 1].sum + c.score, 'n': 3}}, {{'sum': best[i - 2].sum + d.score, 'n': 4}}
+    ], lambda way: way.sum IS NOT NULL)))
+  FROM walk CROSS JOIN floor LEFT JOIN lexicon a ON a.word = run[i + 1]
+  LEFT JOIN lexicon b ON i >= 1 AND b.word = run[i:i + 1] LEFT JOIN lexicon c ON i >= 2 AND c.word = run[i - 1:i + 1]
+  LEFT JOIN lexicon d ON i >= 3 AND d.word = run[i - 2:i + 1]
+  WHERE i < len(run)
+),
+back(run, best, i, words) AS (
+  SELECT run, best, i, []::VARCHAR[] FROM walk WHERE i = len(run)
+  UNION ALL
+  SELECT run, best, i - best[i + 1].n, list_prepend(run[i - best[i + 1].n + 1:i], words) FROM back WHERE i > 0
+),
+segmented AS (SELECT run, words FROM back WHERE i = 0),
+pieces AS (
+  SELECT doc_id, unnest(found) AS piece, generate_subscripts(found, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '{HAN}{{1,256}}|[a-z0-9]+') AS found FROM mixed)
+),
+joined AS (
+  SELECT doc_id, sum(len(coalesce(words, [piece]))) AS n,
+         string_agg(array_to_string(coalesce(words, [piece]), ' '), ' ' ORDER BY i) AS words
+  FROM pieces LEFT JOIN segmented ON run = piece GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 1)::INT AS n, md5(coalesce(words, '<UNK>')) AS tokens FROM mixed LEFT JOIN joined USING (doc_id)""",
+)
+def han_words_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts read as words of the lexicon that they teach."""
+    rows = mixed_documents(spark, sf_dir)
+    lexicon = lexicon_scores(learn_lexicon(rows))
+    found = rows.withColumn("words", han_words(F.col("text"), lexicon))
+    return found.select("doc_id", F.size("words").alias("n"), F.md5(F.array_join("words", " ")).alias("tokens"))
+
+
 @query("short_hash", "SELECT doc_id, upper(left(sha256(text), 12)) AS hash FROM documents")
 def short_hash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
