@@ -169,7 +169,7 @@ def _new_folder(spark: SparkSession, name: str) -> str:
 def _documents_as_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts")
-    return table(spark, sf_dir, "documents").join(events, "doc_id").select(
+    return table(spark, sf_dir, "documents").join(events, "doc_id", "left").select(
         F.xxhash64("source", "doc_id").alias("id"),
         F.concat("source", F.lit(" #"), key.cast("string")).alias("title"),
         F.concat(F.lit("https://example.org/d/"), key.cast("string")).alias("url"),
@@ -189,7 +189,7 @@ SELECT source || ' #' || doc_id AS title, 'https://example.org/d/' || doc_id AS
          AS publish_time,
        CASE WHEN doc_id % 4 <> 0 THEN source END AS publisher, md5(text) AS content,
        ['None', 'Edu', 'Entertainment', 'Edu, Entertainment'][doc_id % 4 + 1] AS category
-FROM documents JOIN events ON doc_id = event_id"""
+FROM documents LEFT JOIN events ON doc_id = event_id"""
 
 
 @query("archive_append", _SQL_ROWS)
@@ -287,7 +287,7 @@ def random_batch_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source || ' #' || doc_id || '_' ||
          upper(left(sha256('https://example.org/d/' || doc_id), 12)) AS archive_key,
        md5(text) AS content
-FROM documents JOIN events ON doc_id = event_id""",
+FROM documents LEFT JOIN events ON doc_id = event_id""",
 )
 def text_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _new_folder(spark, "texts")
