@@ -17,7 +17,7 @@ from broadsheet.queries import QUERIES
 from broadsheet.session import local_session
 
 # Each trains models anew; train_predict stands for them.
-LEFT_OUT = {"model_quality", "classify_routed"}
+LEFT_OUT = {"model_quality", "classify_routed", "train_file_chinese"}
 
 
 def timed(query, spark, sf_dir: str) -> float:
