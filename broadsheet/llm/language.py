@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from broadsheet.llm import runs
+
 UNDETERMINED = "und"
 # Bounds of the model, whatever the size of the corpus.
 DOCS_PER_LANGUAGE = 5_000
@@ -27,7 +29,7 @@ def held_out(doc_id: Column) -> Column:
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters; none if no character is a letter."""
     words = _LETTERS((text or "").lower())
-    return words if any(not w.isnumeric() for w in words) else []
+    return words if any(w.isalpha() or any(map(str.isalpha, w)) for w in words) else []
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -37,42 +39,50 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies per language of words and of n-grams; a bounded table."""
+    """Log frequencies per language of words and of n-grams; a bounded table.
+
+    Each kind of unit has one matrix with a row per unit, and the row numbers by unit.
+    """
 
     def __init__(self, languages: list[str], counts: list[tuple[int, str, int, int]]):
         self.languages = languages
         size = len(languages)
-        by_kind: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(GRAM + 1)}
-        for kind, unit, language, n in counts:
-            by_kind[kind].setdefault(unit, np.zeros(size))[language] += n
-        self.tables: dict[int, dict[str, np.ndarray]] = {}
-        for kind, units in by_kind.items():
-            total = sum(units.values(), np.zeros(size))
+        self.numbers: list[dict[str, int]] = [{} for _ in range(GRAM + 1)]
+        for kind, unit, _, _ in counts:
+            self.numbers[kind].setdefault(unit, len(self.numbers[kind]))
+        self.tables: list[np.ndarray] = []
+        for kind, numbers in enumerate(self.numbers):
+            table = np.zeros((len(numbers), size))
+            own = [(numbers[unit], language, n) for k, unit, language, n in counts if k == kind]
+            rows, columns, sums = np.array(own, dtype=np.int64).reshape(-1, 3).T
+            np.add.at(table, (rows, columns), sums)
             floor = 0.5
-            self.tables[kind] = {
-                u: np.log((c + floor) / (total + floor * (len(units) + 1))) for u, c in units.items()
-            }
+            shares = (table + floor) / (table.sum(axis=0) + floor * (len(numbers) + 1))
+            self.tables.append(np.log(shares).astype(np.float32))
+        self._forget()
+
+    def _forget(self) -> None:
         self._rows: dict[str, int] = {}
-        self._matrix = np.zeros((1024, size))
+        self._matrix = np.zeros((1024, len(self.languages)), np.float32)
 
     def __getstate__(self):
-        return {"languages": self.languages, "tables": self.tables}
+        return {"languages": self.languages, "numbers": self.numbers, "tables": self.tables}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self._rows, self._matrix = {}, np.zeros((1024, len(self.languages)))
+        self._forget()
 
     def word_scores(self, word: str) -> np.ndarray:
         """Log frequency of a known word; else the mean over its longest known n-grams."""
-        known = self.tables[0].get(word)
+        known = self.numbers[0].get(word)
         if known is not None:
-            return known
+            return self.tables[0][known]
         for n in range(GRAM, 0, -1):
-            table = self.tables[n]
-            found = [table[g] for g in grams_of(word, n) if g in table]
+            numbers = self.numbers[n]
+            found = [numbers[g] for g in grams_of(word, n) if g in numbers]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+                return self.tables[n][found].mean(axis=0)
+        return np.zeros(len(self.languages), np.float32)
 
     def _row(self, word: str) -> int:
         if len(self._rows) >= CACHE:  # only a cache of scores: they are worked out again
@@ -95,19 +105,24 @@ class Model:
                 self._rows.clear()
                 get = self._rows.get
             rows = [self._row(w) if (r := get(w)) is None else r for w in part]
-            total += self._matrix[rows].sum(axis=0)
+            total += self._matrix[rows].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())  # ties go to the first language by code point
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def train(docs: DataFrame) -> Model:
+def train(
+    docs: DataFrame,
+    docs_per_language: int = DOCS_PER_LANGUAGE,
+    words_per_language: int = WORDS_PER_LANGUAGE,
+    grams_per_language: int = GRAMS_PER_LANGUAGE,
+) -> Model:
     """Learn from ``text`` and ``lang`` of the rows that are not held out.
 
-    The sample is bounded: about ``DOCS_PER_LANGUAGE`` documents of each language, chosen by a
+    The sample is bounded: about ``docs_per_language`` documents of each language, chosen by a
     hash of the id (all of them where there are fewer); rows with a null ``lang``, ``text`` or
     ``doc_id`` are not learned from. Words and n-grams are counted by Spark; the driver
-    gets the most frequent ones, at most ``WORDS_PER_LANGUAGE`` and ``GRAMS_PER_LANGUAGE``
-    each. More than ``LANGUAGES`` distinct labels are an error.
+    gets the most frequent ones, at most ``words_per_language`` words and ``grams_per_language``
+    n-grams of each length. More than ``LANGUAGES`` distinct labels are an error.
     """
     labelled = docs.select("doc_id", "text", "lang").filter(
         ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
@@ -119,7 +134,7 @@ def train(docs: DataFrame) -> Model:
     if not languages:
         return Model([], [])
     share = F.create_map(
-        *[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, DOCS_PER_LANGUAGE / r["count"]))]
+        *[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, docs_per_language / r["count"]))]
     )
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
 
@@ -151,7 +166,7 @@ def train(docs: DataFrame) -> Model:
         counted.select("unit", "lang", "n").mapInArrow(grams, "kind int, unit string, lang string, n long")
         .groupBy("kind", "lang", "unit").agg(F.sum("n").alias("n"))
     )
-    most = F.when(F.col("kind") == 0, WORDS_PER_LANGUAGE).otherwise(GRAMS_PER_LANGUAGE)
+    most = F.when(F.col("kind") == 0, words_per_language).otherwise(grams_per_language)
     order = Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "unit")
     top = units.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     number = {lang: i for i, lang in enumerate(languages)}
@@ -159,24 +174,26 @@ def train(docs: DataFrame) -> Model:
     return Model(languages, counts)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score`` (the posterior of the language).
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` with two more: the language and its posterior.
 
-    A null text, or one without a letter, is ``und`` with score 0. Only the text is read; whole
-    texts are. Columns of those two names are replaced. No shuffle.
+    A null text, or one without a letter, is ``und`` with score 0; of equal languages the first by
+    code point is taken. Only the text is read; whole texts are. Columns of the given names are
+    replaced. No shuffle; a task holds the model, a few megabytes of text and what it has cached.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in names]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(batches):
         ready = shipped.value
         for batch in batches:
-            found = [ready.predict(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"],
-            )
-
-    return rows.mapInArrow(run, schema + ", lang_pred string, score double")
+            for part in runs.slices(batch):
+                found = [ready.predict(text.as_py()) for text in part.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                    [*part.schema.names, *names],
+                )
+
+    return rows.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
