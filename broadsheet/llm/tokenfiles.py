@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -13,19 +12,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, Window
 
+from broadsheet.llm import runs
 from broadsheet.llm.common import file_system, partitions, scratch, written
 from broadsheet.llm.rangecoder import BLOCK, HEAD_BYTES, decode_block, encode_block, read_head
 
 END_ID = 0
-CACHE = 250_000
-CHUNKS = 1 << 16
+# Distinct words whose ids a worker keeps; it may keep those of the generation before as well.
+CACHE = 600_000
 _FOOT = struct.Struct("<QQI4s")
 _FOOT_MAGIC = b"TIDX"
 # White space as the tokenizer files mean it. A word with the white space before it is encoded
 # alike wherever it stands: no piece of the tokenizer reaches across the end of a word.
-_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_UNITS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+$").findall
-_IS_WHITE = re.compile(f"[{_WHITE}]").fullmatch
+_BLANK = frozenset(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 class LibraryTokenizer:
@@ -59,7 +57,7 @@ class LibraryTokenizer:
                 self._new[unit] = found
         chained, alone = [], []
         for unit in unknown:
-            (chained if _IS_WHITE(unit[0]) and not _IS_WHITE(unit[-1]) else alone).append(unit)
+            (chained if unit[0] in _BLANK and unit[-1] not in _BLANK else alone).append(unit)
         texts = ["".join(chained), *alone]
         made = [np.array(m.ids, "<u4") for m in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         self._new.update(zip(chained, self._apart(made[0], chained)))
@@ -75,18 +73,33 @@ class LibraryTokenizer:
         packed, cuts = ids.tobytes(), (4 * cuts + 4).tolist()
         return [packed[a:b] for a, b in zip([0, *cuts], cuts)]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text as unsigned 32-bit integers."""
-        units, parts = _UNITS(text or ""), []
-        for at in range(0, len(units), CHUNKS):
-            some = units[at : at + CHUNKS]
-            missing = set(some).difference(self._new)
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts one after the other, as unsigned 32-bit integers, and where each
+        text's ids begin and the last one's end.
+
+        The words of all texts are told apart once; a distinct one is looked up, the others are
+        gathered by number.
+        """
+        data, borders, first = runs.units(texts)
+        parts, sizes = [], []
+        for distinct, which in runs.dictionaries(data, borders):
+            missing = {u for u in distinct if u not in self._new}
             if missing:
                 self._learn(missing)
-                if any(u not in self._new for u in some):  # the cache has just turned over
-                    self._learn(set(some).difference(self._new))
-            parts.append(b"".join([self._new[u] for u in some]))
-        return np.frombuffer(b"".join(parts), dtype="<u4")
+                if any(u not in self._new for u in distinct):  # the cache has just turned over
+                    self._learn(set(distinct).difference(self._new))
+            packed = [self._new[u] for u in distinct]
+            ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+            known = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<u4")))
+            taken = known.take(which)
+            parts.append(taken.flatten().to_numpy())
+            sizes.append(np.diff(ends)[which.to_numpy()])
+        before = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+        return (np.concatenate(parts) if parts else np.zeros(0, "<u4")), before[first]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of one whole text."""
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
 
 _LOADED: dict[str, LibraryTokenizer] = {}
@@ -181,23 +194,28 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     """Encode every text, append ``end_id``, and write the ids in ascending ``doc_id`` order.
 
     Returns the table of files: ``uri, part, documents, ids``, in order of ``part``. Rows are
-    range-partitioned by id (null first; ties by text), and a task writes one file. File names
+    range-partitioned by id (null first; ties by a hash of the text, then the text), and a task
+    writes one file. The ranges are found from ids and hashes, no text goes to the driver. File names
     are new for every attempt and only those of the returned, written table count, so a task
     that runs again leaves no double. A null or empty text has the end id only.
     """
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(partitions(docs.sparkSession), "doc_id", "text")
-        .sortWithinPartitions("doc_id", "text")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+        .repartitionByRange(partitions(docs.sparkSession), "doc_id", "hash")
+        .sortWithinPartitions("doc_id", "hash", "text")
+        .select("doc_id", "text")
     )
 
     def run(batches):
         writer, uri, model = None, f"{folder}/ids-{uuid.uuid4().hex}.tids", _tokenizer(tokenizer)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            for part in runs.slices(batch):
                 writer = writer or FileWriter(uri, max(model.size, end_id + 1))
-                writer.add(doc_id, np.concatenate([model.encode(text.as_py()), end]))
+                ids, borders = model.encode_all(part.column("text"))
+                borders = borders.tolist()
+                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), borders, borders[1:]):
+                    writer.add(doc_id, np.concatenate([ids[a:b], end]))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict(
@@ -222,7 +240,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     of ids of all documents before. A task reads whole files, a block at a time.
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-    placed = files.select("uri", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
+    placed = files.select("uri", "part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
 
     def run(batches):
         for batch in batches:
@@ -238,7 +256,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    spread = placed.repartition(max(partitions(files.sparkSession), 1), "uri")
+    spread = placed.repartitionByRange(max(partitions(files.sparkSession), 1), "part")
     return spread.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
