@@ -116,19 +116,30 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     The last copy of a row that is taken in part holds its first words, joined by one space, and
     its ``n_chars`` if there is such a column. Rows that are not taken are left out. ``doc_id``
     names a document: repeated rows of one id all get the largest share of any of them, and
-    rows with a null id are left out.
+    rows with a null id share one.
     """
+    taken, size, copy = (_free(docs, name) for name in ("taken", "size", "copy"))
     shares = (
-        mix(docs, **options).filter((F.col("taken") > 0) & F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(F.max("taken").alias("_taken"), F.max_by("size", "taken").alias("_size"))
+        mix(docs, **options).filter(F.col("taken") > 0).groupBy("doc_id")
+        .agg(F.max("taken").alias(taken), F.max_by("size", "taken").alias(size))
+        .withColumnRenamed("doc_id", f"{taken}_id")
     )
-    copies = F.expr("explode(sequence(1L, (_taken + _size - 1) div _size)) AS _copy")
-    taken = docs.join(shares, "doc_id").select("*", copies)
+    joined = docs.join(shares, docs["doc_id"].cast("long").eqNullSafe(shares[f"{taken}_id"]))
+    copies = F.expr(f"explode(sequence(1L, ({taken} + {size} - 1) div {size})) AS {copy}")
+    rows = joined.select("*", copies)
     words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), F.lit(1))
-    left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
+    left = F.col(taken) - (F.col(copy) - 1) * F.col(size)
     cut = F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")
-    text = F.when(left >= F.col("_size"), F.col("text")).otherwise(cut)
+    text = F.when(left >= F.col(size), F.col("text")).otherwise(cut)
     made = {"text": text}
     if "n_chars" in docs.columns:
-        made["n_chars"] = F.when(left >= F.col("_size"), F.col("n_chars")).otherwise(F.length(text))
-    return taken.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        made["n_chars"] = F.when(left >= F.col(size), F.col("n_chars")).otherwise(F.length(text))
+    return rows.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken or f"{name}_id" in taken:
+        name = f"_{name}"
+    return name

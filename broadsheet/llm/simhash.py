@@ -154,12 +154,19 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) ->
     """The documents without near copies: of each component the row of the smallest ``doc_id``.
 
     All columns are kept. ``doc_id`` names a document, so repeated rows of one ``doc_id`` become
-    one (the smallest row, if they differ). Rows whose ``doc_id`` is null are kept.
+    one (the smallest row, if they differ; maps are compared as JSON text). Rows whose ``doc_id``
+    is null are kept.
     """
     found = near_duplicates(docs, shingle, radius)
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     # The smallest row per id is an aggregate on the key that the join has already dealt out.
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-    first = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(whole).alias("row"))
+    rest = [f for f in docs.schema if f.name != "doc_id"]
+    if any("map<" in f.dataType.simpleString() for f in rest):
+        texts = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in rest]
+        least = F.min_by(whole, F.struct(*texts))
+    else:
+        least = F.min(whole)
+    first = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(least.alias("row"))
     named = first.select("doc_id", "row.*").select(*[F.col(f"`{c}`") for c in docs.columns])
     return named.unionByName(docs.filter(F.col("doc_id").isNull()))
