@@ -16,29 +16,39 @@ WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter (or text) go; a missing ``lang`` is filled in."""
-    found = language.predict(docs, language.train(docs)).filter(F.col("lang_pred") != language.UNDETERMINED)
-    filled = F.coalesce("lang", "lang_pred").alias("lang")
+    """Documents without any letter (or text) go; a missing ``lang`` is filled in.
+
+    Other columns stay as they are, whatever their names; null ids and repeated rows are kept.
+    """
+    names = ("lang_pred", "score")
+    while {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        names = tuple(f"_{n}" for n in names)
+    found = language.predict(docs, language.train(docs), names).filter(F.col(names[0]) != language.UNDETERMINED)
+    filled = F.coalesce("lang", names[0]).alias("lang")
     return found.select(*[filled if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest ``doc_id``."""
+    """One document of each SimHash group stays, the one with the smallest ``doc_id``.
+
+    Null ids stay; repeated rows of one id become one.
+    """
     return simhash.drop_near_duplicates(docs, shingle=3, radius=2)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words go that stand in a passage of 13 words of an earlier document."""
+    """Words go that stand in a passage of 13 words of an earlier document; all rows and other
+    columns stay."""
     return substrings.drop_repeated(docs, window=13)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for every pass over a document in the mixture."""
+    """A row for every pass over a document in the mixture; rows with a null id share one share."""
     return mixing.mixed_documents(docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` and the digest of the decoded text."""
+    """``doc_id, n_tokens, ids`` and the digest of the decoded text, a row for each row."""
     done = bpe.encode(docs, public_tokenizers.path(WORD_TOKENIZER))
     return done.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
