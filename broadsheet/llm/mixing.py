@@ -114,8 +114,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: a row of ``docs`` for every pass over it, with all columns.
 
     The last copy of a row that is taken in part holds its first words, joined by one space, and
-    its ``n_chars`` if there is such a column. Rows that are not taken are left out. ``doc_id``
-    names a document: repeated rows of one id all get the largest share of any of them, and
+    its ``n_chars`` if there is such a column. Rows that are not taken, and those without a word,
+    are left out. ``doc_id`` names a document: repeated rows of one id all get the largest share of any of them, and
     rows with a null id share one.
     """
     taken, size, copy = (_free(docs, name) for name in ("taken", "size", "copy"))
@@ -124,7 +124,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         .agg(F.max("taken").alias(taken), F.max_by("size", "taken").alias(size))
         .withColumnRenamed("doc_id", f"{taken}_id")
     )
-    joined = docs.join(shares, docs["doc_id"].cast("long").eqNullSafe(shares[f"{taken}_id"]))
+    worded = docs.filter(size_of(F.col("text")) > 0)
+    joined = worded.join(shares, worded["doc_id"].cast("long").eqNullSafe(shares[f"{taken}_id"]))
     copies = F.expr(f"explode(sequence(1L, ({taken} + {size} - 1) div {size})) AS {copy}")
     rows = joined.select("*", copies)
     words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), F.lit(1))
