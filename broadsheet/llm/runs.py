@@ -55,21 +55,10 @@ def white(data: np.ndarray) -> np.ndarray:
     return found
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs without white space: their bytes one after the other, where each begins and the last
-    ends in these, and the number of runs before each text and in all."""
-    data, offsets = flat(texts)
-    blank = white(data)
-    first = ~blank
-    first[1:] &= blank[:-1] | _at(offsets, len(data))[1:]
-    starts = np.flatnonzero(first)
-    kept = np.concatenate([[0], np.cumsum(~blank)])
-    borders = np.append(kept[starts], kept[-1])
-    return data[~blank], borders, np.searchsorted(starts, offsets)
-
-
 def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for words with the white space before them, and white space at a text's end."""
+    """Words with the white space before them, and white space at a text's end: their bytes one after
+    the other, where each begins and the last ends, and the number of them before each text and
+    in all."""
     data, offsets = flat(texts)
     blank = white(data)
     first = _at(offsets, len(data))

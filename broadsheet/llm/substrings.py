@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T, Window
 
@@ -89,8 +90,10 @@ def _anchors(batches, window: int, anchor: int):
             )
 
 
+# A row is a distinct segment of a batch, with its words and least and greatest document, or, without
+# words, a place of one: the document, which of its texts, and the first word.
+_SEGMENTS = "route long, key long, words string, first long, last long, nth int, at long"
 _PLACES = "first long, nth int, at long, route long, key long"
-_SEGMENTS = "route long, key long, words string, first long, last long"
 
 
 def _segments(batches, window: int, anchor: int):
@@ -134,29 +137,34 @@ def _key(words: bytes) -> int:
     return _signed(xxhash.xxh64_intdigest(words, 11))
 
 
-def _segment_places(batches, window: int, anchor: int):
+def _segment_rows(batches, window: int, anchor: int):
+    """The distinct segments of a batch and all their places, from one look at its texts."""
     for rows in _segments(batches, window, anchor):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
-             pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()),
-             pa.array([_key(r[4]) for r in rows], pa.int64())],
-            ["first", "nth", "at", "route", "key"],
-        )
-
-
-def _segment_texts(batches, window: int, anchor: int):
-    """The distinct segments of a batch with their least and greatest document."""
-    for rows in _segments(batches, window, anchor):
-        held: dict[tuple[int, bytes], tuple[int, int]] = {}
+        held: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        keys = []
         for first, _, _, route, words in rows:
-            low, high = held.get((route, words), (first, first))
-            held[route, words] = (min(low, first), max(high, first))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in held], pa.int64()), pa.array([_key(k[1]) for k in held], pa.int64()),
-             pa.array([k[1] for k in held], pa.binary()).cast(pa.string()),
-             pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())],
-            ["route", "key", "words", "first", "last"],
-        )
+            known = held.get((route, words))
+            low, high, key = known or (first, first, _key(words))
+            held[route, words] = (min(low, first), max(high, first), key)
+            keys.append(key)
+        none = [None] * len(rows)
+        columns = [
+            ([k[0] for k in held], [r[3] for r in rows], pa.int64()),
+            ([v[2] for v in held.values()], keys, pa.int64()),
+            ([k[1] for k in held], none, pa.binary()),
+            ([v[0] for v in held.values()], [r[0] for r in rows], pa.int64()),
+            ([v[1] for v in held.values()], none, pa.int64()),
+            ([None] * len(held), [r[1] for r in rows], pa.int32()),
+            ([None] * len(held), [r[2] for r in rows], pa.int64()),
+        ]
+        arrays = [pa.array([*texts, *places], kind) for texts, places, kind in columns]
+        arrays[2] = arrays[2].cast(pa.string())
+        yield pa.RecordBatch.from_arrays(arrays, ["route", "key", "words", "first", "last", "nth", "at"])
+
+
+def _only_places(batches):
+    for batch in batches:
+        yield batch.filter(pc.is_null(batch.column("words"))).select(["first", "nth", "at", "route", "key"])
 
 
 def shard_minima(segments: list[bytes], documents: np.ndarray, window: int) -> list[np.ndarray]:
@@ -194,6 +202,7 @@ def _shards(batches, window: int):
 
     rows, symbols = [], 0
     for batch in batches:
+        batch = batch.filter(pc.is_valid(batch.column("words")))
         for row in zip(*(batch.column(c).to_pylist() for c in ("route", "key", "words", "first", "last"))):
             before = rows[-1] if rows else None
             if before is not None and before[0] == row[0]:
@@ -301,11 +310,11 @@ def repeated(docs: DataFrame, window: int = WINDOW, joined: bool = True) -> Data
         .groupBy("doc_id").agg(F.collect_list(F.struct("whole", "first", "nth", "anchors")).alias("entries"))
     )
     candidates = rows.join(entries, "doc_id")
-    segments = candidates.mapInArrow(lambda b: _segment_texts(b, window, ANCHOR), _SEGMENTS)
-    minima = segments.repartition("route").sortWithinPartitions("route", "words").mapInArrow(
-        lambda b: _shards(b, window), _MINIMA
-    )
-    places = candidates.mapInArrow(lambda b: _segment_places(b, window, ANCHOR), _PLACES)
+    # Segments and places are made together and share one shuffle. What reads it takes its rows
+    # inside a task: a filter of its own would give each reader a shuffle of its own.
+    dealt = candidates.mapInArrow(lambda b: _segment_rows(b, window, ANCHOR), _SEGMENTS).repartition("route")
+    minima = dealt.sortWithinPartitions("route", "words").mapInArrow(lambda b: _shards(b, window), _MINIMA)
+    places = dealt.mapInArrow(_only_places, _PLACES)
     earlier = F.expr("filter(transform(least, (m, i) -> if(m < first, at + i, null)), x -> x is not null)")
     starts = (
         places.join(minima, ["route", "key"]).select("first", "nth", earlier.alias("starts")).filter(F.size("starts") > 0)
