@@ -97,8 +97,8 @@ def test_slices_hold_whole_texts(monkeypatch):
     assert list(runs.slices(batch.slice(0, 0))) == []
 
 
-def test_segments_and_places_are_made_once(spark, docs):
-    """Both readers of the candidate texts share one pass and one shuffle."""
+def test_a_passage_in_every_document(spark, docs):
+    """Only the first document keeps it."""
     words = " ".join(f"w{i}" for i in range(30))
     rows = spark.createDataFrame([(i, f"{i} {words} {i}") for i in range(6)], "doc_id long, text string")
     found = substrings.repeated(rows.withColumn("lang", F.lit("x")))
