@@ -26,7 +26,7 @@ from broadsheet.operators.corpus import (
     with_tokens,
 )
 from broadsheet.operators.lexicon import lexicon_scores
-from broadsheet.operators.selection import split_exact
+from broadsheet.operators.selection import split_at, split_edge
 from broadsheet.session import kept
 
 _META = "meta"
@@ -125,62 +125,67 @@ def train(
     if vocab_size > LOCAL_VOCABULARY:
         raise ValueError(f"vocab_size is at most {LOCAL_VOCABULARY}")
     checked = require_rows(rows, 2, "Dataset must have at least 2 samples.")
-    # Tokens are wanted by the counts, the fit and the evaluation.
-    prepared = with_tokens(split_exact(checked, seed, id_column), language, lexicon=lexicon).persist()
-    try:
-        training = prepared.filter(F.col("split") == "train")
-        vocab = vocabulary(token_frequency(training), vocab_size)
-        words = vocabulary_words(vocab)
-        # Every label counts, also one that only the held-out rows have.
-        names = prepared.select("label").distinct()
-        found = names.limit(max_labels + 1).count()
-        if found > max_labels:
-            raise ValueError(f"more than {max_labels} labels")
-        labels = [r["label"] for r in label_index(prepared).orderBy("idx").collect()]
-        features = [
-            CountVectorizerModel.from_vocabulary(
-                words or ["<UNK>"], inputCol="tokens", outputCol="counts"
-            ),
-            Normalizer(p=1.0, inputCol="counts", outputCol="features"),
-        ]
-        indexer = StringIndexerModel.from_labels(
-            labels, inputCol="label", outputCol="label_idx"
-        )
-        ready = indexer.transform(PipelineModel(features).transform(training))
-        # Every iteration reads these rows again: from the shared folder they survive a lost
-        # executor, and tasks do not carry the plan that made them.
-        ready = kept(ready.select("features", "label_idx"))
-        fitted = LogisticRegression(
-            featuresCol="features",
-            labelCol="label_idx",
-            predictionCol="predicted_idx",
-            probabilityCol="probabilities",
-            family="multinomial",
-            maxIter=max_iter,
-            regParam=reg_param,
-            tol=tol,
-        ).fit(ready)
-        naming = IndexToString(
-            inputCol="predicted_idx", outputCol="predicted_label", labels=labels
-        )
-        stages = PipelineModel([*features, fitted, naming])
-        valid = indexer.transform(stages.transform(prepared.filter(F.col("split") == "valid")))
-        given = F.get(vector_to_array("probabilities"), F.col("label_idx").cast("int"))
-        # A class no training row has gets no probability; the floor keeps its loss finite.
-        scored = valid.select(
-            "label_idx",
-            "predicted_idx",
-            F.greatest(F.coalesce(given, F.lit(0.0)), F.lit(1e-15)).alias("probability"),
-        )
-        quality = evaluation(scored).first()
-        kept_vocab = rows.sparkSession.createDataFrame(
-            list(enumerate(words, start=2)), "id int, token string"
-        )
-        return TextModel(
-            stages, kept_vocab, labels, language, quality["loss"], quality["accuracy"], lexicon
-        )
-    finally:
-        prepared.unpersist()
+    # The edge is looked for once. Texts are read and cut again for the counts, the fit and the
+    # evaluation: kept tokens of one input split are many times as large as the split.
+    edge = rows.sparkSession.range(1).select(split_edge(checked, seed, id_column).alias("edge")).first()["edge"]
+    kind = rows.schema[id_column].dataType
+    known = F.struct(F.lit(edge["_key"]).alias("_key"), F.lit(edge["_id"]).cast(kind).alias("_id"))
+    prepared = split_at(checked, known, seed, id_column)
+
+    def tokenised(split: str) -> DataFrame:
+        return with_tokens(prepared.filter(F.col("split") == split), language, lexicon=lexicon)
+
+    training = tokenised("train")
+    vocab = vocabulary(token_frequency(training), vocab_size)
+    words = vocabulary_words(vocab)
+    # Every label counts, also one that only the held-out rows have.
+    names = checked.select("label").distinct()
+    found = names.limit(max_labels + 1).count()
+    if found > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
+    labels = [r["label"] for r in label_index(checked).orderBy("idx").collect()]
+    features = [
+        CountVectorizerModel.from_vocabulary(
+            words or ["<UNK>"], inputCol="tokens", outputCol="counts"
+        ),
+        Normalizer(p=1.0, inputCol="counts", outputCol="features"),
+    ]
+    indexer = StringIndexerModel.from_labels(
+        labels, inputCol="label", outputCol="label_idx"
+    )
+    ready = indexer.transform(PipelineModel(features).transform(training))
+    # Every iteration reads these rows again: from the shared folder they survive a lost
+    # executor, and tasks do not carry the plan that made them.
+    ready = kept(ready.select("features", "label_idx"))
+    fitted = LogisticRegression(
+        featuresCol="features",
+        labelCol="label_idx",
+        predictionCol="predicted_idx",
+        probabilityCol="probabilities",
+        family="multinomial",
+        maxIter=max_iter,
+        regParam=reg_param,
+        tol=tol,
+    ).fit(ready)
+    naming = IndexToString(
+        inputCol="predicted_idx", outputCol="predicted_label", labels=labels
+    )
+    stages = PipelineModel([*features, fitted, naming])
+    valid = indexer.transform(stages.transform(tokenised("valid")))
+    given = F.get(vector_to_array("probabilities"), F.col("label_idx").cast("int"))
+    # A class no training row has gets no probability; the floor keeps its loss finite.
+    scored = valid.select(
+        "label_idx",
+        "predicted_idx",
+        F.greatest(F.coalesce(given, F.lit(0.0)), F.lit(1e-15)).alias("probability"),
+    )
+    quality = evaluation(scored).first()
+    kept_vocab = rows.sparkSession.createDataFrame(
+        list(enumerate(words, start=2)), "id int, token string"
+    )
+    return TextModel(
+        stages, kept_vocab, labels, language, quality["loss"], quality["accuracy"], lexicon
+    )
 
 
 def label_rows(rows: DataFrame, strict: bool = False, label: str = "label") -> DataFrame:

@@ -138,17 +138,16 @@ def _bucket_cut(keyed: DataFrame, digits: int, wanted: Column) -> DataFrame:
     )
 
 
-def split_exact(
+def split_edge(
     rows: DataFrame, seed: int | str, id_column: str = "id", valid_share: float = 0.2
-) -> DataFrame:
-    """Add ``split``: the last ``floor(share * n)`` rows in seeded order are 'valid'.
+) -> Column:
+    """``_key, _id`` of the last row, in seeded order, that is not held out.
 
     The cut point is found by counting key prefixes twice (four, then eight hex digits) and
     ranking only the rows that share the last prefix, about one in four billion. Ids must be
     unique. No global sort, no single-task window over the rows.
     """
-    keyed = rows.withColumn("_key", seeded_key(seed, F.col(id_column)))
-    slim = keyed.select("_key", F.col(id_column).alias("_id"))
+    slim = rows.select(seeded_key(seed, F.col(id_column)).alias("_key"), F.col(id_column).alias("_id"))
     train = slim.agg(
         (F.count("*") - F.floor(F.count("*") * F.lit(float(valid_share)))).alias("n")
     ).scalar()
@@ -158,23 +157,35 @@ def split_exact(
         F.substring("_key", 1, 4) == F.col("_cut.prefix")
     )
     second = _bucket_cut(near.drop("_cut"), 8, first["take"]).scalar()
-    last = (
+    return (
         slim.withColumn("_cut", second)
         .filter(F.substring("_key", 1, 8) == F.col("_cut.prefix"))
         .withColumn("_n", F.row_number().over(Window.partitionBy().orderBy("_key", "_id")))
         .filter(F.col("_n") == F.col("_cut.take"))
         .select(F.struct("_key", "_id").alias("edge"))
     ).scalar()
+
+
+def split_at(rows: DataFrame, edge: Column, seed: int | str, id_column: str = "id") -> DataFrame:
+    """Add ``split``: 'train' for rows up to ``edge`` (see ``split_edge``), 'valid' behind it."""
+    keyed = rows.withColumn("_key", seeded_key(seed, F.col(id_column)))
     before = (F.col("_key") < F.col("_edge._key")) | (
         (F.col("_key") == F.col("_edge._key")) & (F.col(id_column) <= F.col("_edge._id"))
     )
     return (
-        keyed.withColumn("_edge", last)
+        keyed.withColumn("_edge", edge)
         .withColumn("split", F.when(before, "train").otherwise("valid"))
         .drop("_key", "_edge")
     )
 
 
+def split_exact(
+    rows: DataFrame, seed: int | str, id_column: str = "id", valid_share: float = 0.2
+) -> DataFrame:
+    """Add ``split``: the last ``floor(share * n)`` rows in seeded order are 'valid'."""
+    return split_at(rows, split_edge(rows, seed, id_column, valid_share), seed, id_column)
+
+
 # Places per chunk when a reader's history is counted rather than listed.
 CHUNK = 4096
 

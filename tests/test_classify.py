@@ -94,3 +94,22 @@ def test_every_text_gets_a_known_label(spark):
     model = K.train(lopsided, ENGLISH, 100, max_iter=10)
     strange = spark.createDataFrame([("",), ("zzz",), ("游戏",)], "text string")
     assert {r.predicted for r in model.predict(strange).collect()} <= set(model.labels)
+
+
+def test_training_keeps_no_tokens_in_blocks(spark, monkeypatch):
+    """A block of kept tokens is as large as its input split makes it, many times the split."""
+
+    def refused(self, *args):
+        raise AssertionError("tokens are kept")
+
+    monkeypatch.setattr(type(spark.range(0)), "persist", refused)
+    monkeypatch.setattr(type(spark.range(0)), "cache", refused)
+    model = K.train(corpus(spark, WORDS), ENGLISH, 100, max_iter=10)
+    assert model.accuracy == 1.0
+
+
+def test_ids_of_other_types_split_alike(spark):
+    rows = corpus(spark, WORDS)
+    narrow = K.train(rows.withColumn("id", F.col("id").cast("int")), ENGLISH, 100, max_iter=3)
+    named = K.train(rows.withColumn("id", F.col("id").cast("string")), ENGLISH, 100, max_iter=3)
+    assert narrow.loss == pytest.approx(named.loss)
