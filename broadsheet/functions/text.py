@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Mapping
-from zlib import crc32
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from broadsheet.fixed import CHINESE, ENGLISH, UNKNOWN, UNK_TOKEN, SAFE_NAME_LENGTH
 from broadsheet.fixed import UNSAFE_NAME_CHARS, UNTITLED
-from broadsheet.functions.core import collapse_ws, is_blank, let, sql_apply, sql_let, sql_literal
+from broadsheet.functions.core import collapse_ws, is_blank, let
 from broadsheet.functions.core import ws_trim
 
 HAN = "[一-鿿]"
@@ -19,7 +19,8 @@ LATIN = "[A-Za-z]"
 LONGEST_WORD, LONGEST_RUN = 4, 256
 # What a character outside the lexicon costs more than its rarest word, in thousandths of a nat.
 UNKNOWN_COST = 1_000
-_BUCKETS = 4096
+# Distinct runs that a task remembers the words of.
+_RUNS_HELD = 200_000
 # One token per match: a Han character with its neighbour, one that has none, or a run. Pairs
 # overlap because the match itself takes one character only.
 _HAN_TOKEN = f"(?=({HAN}{{2}}|(?<!{HAN}){HAN}|[a-z0-9]+))(?:{HAN}|[a-z0-9]+)"
@@ -90,31 +91,54 @@ def han_tokens(text: Column) -> Column:
     return or_unknown(F.regexp_extract_all(F.lower(text), F.lit(_HAN_TOKEN), F.lit(1)))
 
 
-def _sql_segment(lexicon: Mapping[str, int]) -> str:
-    """The words of a run of Han characters ``_run``, as a SQL lambda.
+def _segmenter(lexicon: Mapping[str, int]):
+    """The words of every text of an Arrow array, as a function that needs nothing of this package.
 
-    ``_best`` holds, for every length of the run's beginning, the best sum of scores and the length of
-    its last word; of equal sums the longer last word wins. The words are read off backwards.
+    For every length of a run's beginning the best sum of scores is kept and the length of its
+    last word; of equal sums the longer last word wins. Words are read off backwards. Equal runs
+    are read once while they are among the last ``_RUNS_HELD`` that a task has met.
     """
-    buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
-    for word, score in lexicon.items():
-        buckets[crc32(word.encode()) % _BUCKETS][word] = score
-    table = f"from_json({sql_literal(json.dumps(buckets, ensure_ascii=False))}, 'array<map<string,int>>')"
-    unknown = min(lexicon.values(), default=0) - UNKNOWN_COST
-    word = "substr(_run, _i - _n + 1, _n)"
-    known = f"try_element_at(get({table}, cast(pmod(crc32(cast(_word AS binary)), {_BUCKETS}) AS int)), _word)"
-    score = sql_let(word, "_word", f"coalesce({known}, CASE WHEN _n = 1 THEN {unknown} END)")
-    ways = f"transform(sequence(1, least(_i, {LONGEST_WORD})), _n -> named_struct('sum', get(_best, _i - _n).sum + {score}, 'n', _n))"
-    step = f"(_best, _i) -> concat(_best, array(array_max(filter({ways}, _way -> _way.sum IS NOT NULL))))"
-    best = f"aggregate(sequence(1, length(_run)), array(named_struct('sum', 0L, 'n', 0)), {step})"
-    last = "get(_found, _s.at).n"
-    back = (
-        f"(_s, _k) -> CASE WHEN _s.at = 0 THEN _s ELSE named_struct('at', _s.at - {last}, "
-        f"'words', concat(array(substr(_run, _s.at - {last} + 1, {last})), _s.words)) END"
-    )
-    start = "named_struct('at', length(_run), 'words', cast(array() AS array<string>))"
-    words = f"aggregate(sequence(1, length(_run)), {start}, {back}, _s -> _s.words)"
-    return "_run -> " + sql_let(best, "_found", words)
+    known, unknown = dict(lexicon), min(lexicon.values(), default=0) - UNKNOWN_COST
+    pieces = re.compile(f"{HAN}{{1,{LONGEST_RUN}}}|[a-z0-9]+").findall
+    longest, held, most, sentinel = LONGEST_WORD, {}, _RUNS_HELD, [UNK_TOKEN]
+
+    def read(run: str) -> list[str]:
+        if run[0] < "\x80":
+            return [run]
+        sums, sizes = [0], [0]
+        for i in range(1, len(run) + 1):
+            best, size = sums[i - 1] + known.get(run[i - 1], unknown), 1
+            for n in range(2, min(i, longest) + 1):
+                score = known.get(run[i - n : i])
+                if score is not None and sums[i - n] + score >= best:
+                    best, size = sums[i - n] + score, n
+            sums.append(best)
+            sizes.append(size)
+        words, at = [], len(run)
+        while at:
+            words.append(run[at - sizes[at] : at])
+            at -= sizes[at]
+        return words[::-1]
+
+    def words_of(text: str | None) -> list[str]:
+        found: list[str] = []
+        for piece in pieces(text or ""):
+            words = held.get(piece)
+            if words is None:
+                if len(held) >= most:
+                    held.clear()
+                words = held[piece] = read(piece)
+            found += words
+        return found or sentinel
+
+    def segment(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        parts = [
+            pa.array([words_of(t) for t in texts.slice(at, 256).to_pylist()], kind) for at in range(0, len(texts), 256)
+        ]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return segment
 
 
 def han_words(text: Column, lexicon: Mapping[str, int]) -> Column:
@@ -122,11 +146,9 @@ def han_words(text: Column, lexicon: Mapping[str, int]) -> Column:
 
     Every single character is a word, so any run can be read; one that the lexicon lacks costs more
     than its rarest word. Runs are cut after ``LONGEST_RUN`` characters, so the cost is linear. An
-    empty lexicon takes runs apart into characters.
+    empty lexicon takes runs apart into characters. Texts are read in Arrow batches.
     """
-    pieces = F.regexp_extract_all(F.lower(text), F.lit(f"({HAN}{{1,{LONGEST_RUN}}}|[a-z0-9]+)"), F.lit(1))
-    words = f"_piece -> CASE WHEN _piece RLIKE '^{HAN}' THEN {sql_apply('_piece', _sql_segment(lexicon))} ELSE array(_piece) END"
-    return or_unknown(F.flatten(F.call_function("transform", pieces, F.expr(words))))
+    return F.arrow_udf(_segmenter(lexicon), "array<string>")(F.lower(text))
 
 
 def tokens(text: Column, language: str, lexicon: Mapping[str, int] | None = None) -> Column:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from functools import cache
 
 import pytest
@@ -57,6 +58,15 @@ def test_other_texts_and_long_runs(one):
     assert one(X.tokens(V, CHINESE), ["中国人"]) == [["中国", "国人"]]
 
 
+def test_long_runs_take_time_by_the_character(one):
+    """Seconds for half a million characters in full runs, in one task."""
+    draw = random.Random(5)
+    text = "".join(draw.choice("中国人民") for _ in range(500_000))
+    began = time.monotonic()
+    assert one(F.length(F.array_join(X.han_words(V, LEXICON), "")), [text]) == [500_000]
+    assert time.monotonic() - began < 15
+
+
 @pytest.fixture(scope="module")
 def made_up(spark):
     """Texts of three words and single characters in random order."""
