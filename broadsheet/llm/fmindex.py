@@ -140,10 +140,10 @@ class FmIndex:
         """
         size = len(self.suffixes)
         longest = max((len(s) for s in streams), default=0)
-        padded = np.zeros((len(streams), longest), dtype=np.int64)
-        for i, s in enumerate(streams):
-            padded[i, longest - len(s) :] = s  # all end together
-        begins = longest - np.array([len(s) for s in streams], dtype=np.int64)
+        lengths = np.array([len(s) for s in streams], dtype=np.int64)
+        # One after the other, not as rows of the longest one's width; they are read from their ends.
+        symbols = np.concatenate([np.zeros(0, dtype=np.int64), *streams])
+        ends, begins = np.cumsum(lengths), longest - lengths
         low = np.zeros(len(streams), dtype=np.int64)
         high = np.full(len(streams), size, dtype=np.int64)
         matched = np.zeros(len(streams), dtype=np.int64)
@@ -157,7 +157,7 @@ class FmIndex:
                     some = shorten[matched[shorten] == d]
                     low[some], high[some] = self.around(low[some], d - 1)
                     matched[some] = d - 1
-                symbol = padded[waiting, at]
+                symbol = symbols[ends[waiting] - (longest - at)]
                 known = (symbol > 0) & (symbol < self.symbols)
                 new_low, new_high = self.extend(np.where(known, symbol, 0), low[waiting], high[waiting])
                 fits = known & (new_low < new_high)

@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T, Window
 
+from broadsheet.llm import runs
 from broadsheet.llm.common import written
 from broadsheet.llm.fmindex import FmIndex
 
@@ -93,18 +94,19 @@ _PLACES = "first long, nth int, at long, route long, key long"
 _SEGMENTS = "route long, key long, words string, first long, last long"
 
 
-def _segments(batches, window: int, anchor: int):
+def _segments(batch: pa.RecordBatch, window: int, anchor: int):
     """Runs of windows with one repeated anchor; windows of a hot anchor one by one.
 
-    For every batch the rows (first, nth, at, route, words): the document's first id and text
-    number, the first word, and where the segment is dealt to.
+    For every few megabytes of text the rows (first, nth, at, route, words): the document's first
+    id and text number, the first word, and where the segment is dealt to.
     """
-    for batch in batches:
+    for part in runs.slices(batch):
         rows = []
-        for text, entries in zip(batch.column("text").cast(pa.binary()), batch.column("entries").to_pylist()):
-            whole = digest_of(text.as_py())
+        for text, entries in zip(part.column("text").cast(pa.binary()), part.column("entries")):
+            text, entries = text.as_py(), entries.as_py()
+            whole = digest_of(text)
             entry = next((e for e in entries if e["whole"] == whole), None)
-            words = words_of(text.as_py())
+            words = words_of(text)
             if entry is None or len(words) < window:
                 continue
             first, nth = entry["first"], entry["nth"]
@@ -120,8 +122,8 @@ def _segments(batches, window: int, anchor: int):
                     rows.append((first, nth, s, value, b" ".join(words[s : e + window])))
                     continue
                 for i in range(s, e + 1):
-                    part = b" ".join(words[i : i + window])
-                    rows.append((first, nth, i, _signed(xxhash.xxh64_intdigest(part, 7)), part))
+                    piece = b" ".join(words[i : i + window])
+                    rows.append((first, nth, i, _signed(xxhash.xxh64_intdigest(piece, 7)), piece))
         if rows:
             yield rows
 
@@ -135,22 +137,26 @@ def _key(words: bytes) -> int:
 
 
 def _segment_places(batches, window: int, anchor: int):
-    for rows in _segments(batches, window, anchor):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
-             pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()),
-             pa.array([_key(r[4]) for r in rows], pa.int64())],
-            ["first", "nth", "at", "route", "key"],
-        )
+    for batch in batches:
+        for rows in _segments(batch, window, anchor):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
+                 pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()),
+                 pa.array([_key(r[4]) for r in rows], pa.int64())],
+                ["first", "nth", "at", "route", "key"],
+            )
 
 
 def _segment_texts(batches, window: int, anchor: int):
     """The distinct segments of a batch with their least and greatest document."""
-    for rows in _segments(batches, window, anchor):
+    for batch in batches:
         held: dict[tuple[int, bytes], tuple[int, int]] = {}
-        for first, _, _, route, words in rows:
-            low, high = held.get((route, words), (first, first))
-            held[route, words] = (min(low, first), max(high, first))
+        for rows in _segments(batch, window, anchor):
+            for first, _, _, route, words in rows:
+                low, high = held.get((route, words), (first, first))
+                held[route, words] = (min(low, first), max(high, first))
+        if not held:
+            continue
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in held], pa.int64()), pa.array([_key(k[1]) for k in held], pa.int64()),
              pa.array([k[1] for k in held], pa.binary()).cast(pa.string()),
@@ -210,11 +216,11 @@ def _shards(batches, window: int):
 
 
 def _cut(batches, window: int, joined: bool):
-    for batch in batches:
+    for batch in (part for whole_batch in batches for part in runs.slices(whole_batch)):
         sizes, removed, spans, kept = [], [], [], []
         texts = batch.column("text").cast(pa.binary())
-        for text, entries in zip(texts, batch.column("marks").to_pylist()):
-            words = words_of(text.as_py())
+        for text, entries in zip(texts, batch.column("marks")):
+            words, entries = words_of(text.as_py()), entries.as_py()
             gone = np.zeros(len(words) + 1, dtype=bool)
             if entries:
                 whole = digest_of(text.as_py())
@@ -228,11 +234,11 @@ def _cut(batches, window: int, joined: bool):
                         np.add.at(steps, starts + window, -1)
                         gone |= np.cumsum(steps) > 0
             edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8)))))
-            runs = edges.reshape(-1, 2)
+            ranges = edges.reshape(-1, 2)
             sizes.append(len(words))
             removed.append(int(gone.sum()))
-            spans.append([{"first": int(a), "last": int(b) - 1} for a, b in runs])
-            if not len(runs):
+            spans.append([{"first": int(a), "last": int(b) - 1} for a, b in ranges])
+            if not len(ranges):
                 kept.append(b" ".join(words) if joined else text.as_py())
             else:
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]))

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -328,6 +329,19 @@ def test_fm_index_equals_brute_force(sequences, streams, depth):
     assert got == want
 
 
+def test_a_long_segment_does_not_widen_the_others():
+    """Memory of a shard goes with its symbols, not with segments times the longest of them."""
+    draw = np.random.default_rng(3)
+    segments = [b" ".join(b"w%d" % i for i in draw.integers(0, 2000, n)) for n in [3000] + [13] * 6000]
+    tracemalloc.start()
+    try:
+        minima = substrings.shard_minima([*segments, segments[0]], np.arange(1, 6003), 13)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (minima[-1] == 1).all() and peak < 80e6
+
+
 def test_warc_round_trip_in_chunks(spark):
     importable(spark)
     big = "<p>é" * 200_000
