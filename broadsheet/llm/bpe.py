@@ -5,24 +5,23 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from broadsheet.llm import runs
+from broadsheet.llm.common import tidy
+
 END = "</w>"
 # White space as the tokenizer files mean it: the Unicode property, without U+001C to U+001F.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_CHUNK = regex.compile(f"[^{WHITE}]+").findall
-_ODD_SEPARATORS = regex.compile("[\\x1c-\\x1f]").search
 _PIECE = regex.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d|\\p{{L}}+|\\p{{N}}|[^{WHITE}\\p{{L}}\\p{{N}}]+"
 ).findall
-CACHE = 250_000
-# Rows of a batch that leaves a task, and chunks worked on at a time.
-ROWS, CHUNKS = 512, 1 << 16
+# Bytes of distinct words and their ids that a worker keeps, and text that is encoded at a time.
+KEPT, BYTES = 40 << 20, 4 << 20
 
 
 def byte_characters() -> list[str]:
@@ -55,8 +54,9 @@ class WordBpe:
         marks = "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.path, self._library = path, None
         self.split_special = regex.compile(f"({marks})").split
-        self._new: dict[str, tuple[bytes, bytes]] = {}
-        self._old: dict[str, tuple[bytes, bytes]] = {}
+        # Vocabulary strings by id, each with the space that parts it from the next.
+        self._strings = pa.array([self.tokens.get(i, "") + " " for i in range(max(self.tokens) + 1)], pa.large_string())
+        self._known = runs.Known(self._learn, KEPT)
 
     def merge(self, data: bytes) -> list[int]:
         """Token ids of one word.
@@ -108,8 +108,8 @@ class WordBpe:
         part = self._library.normalizer.normalize_str(part)
         return [part[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(part)]
 
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        """Ids of a run without white space, as 32-bit integers, and what they decode to."""
+    def _chunk(self, chunk: str) -> list[int]:
+        """Ids of a run without white space."""
         ids: list[int] = []
         for part in self.split_special(chunk) if "<|" in chunk else (chunk,):
             if part in self.special:
@@ -125,30 +125,28 @@ class WordBpe:
             part = part.lower()
             for piece in (part,) if part.isalpha() and part.isascii() else _PIECE(part):
                 ids += self.merge(piece.encode())
-        return pack(f"<{len(ids)}i", *ids), self.decode(ids).encode()
+        return ids
+
+    def _learn(self, chunks: pa.Array) -> pa.Array:
+        made = [self._chunk(chunk) for chunk in chunks.to_pylist()]
+        return runs.lists(np.array([i for ids in made for i in ids], "<u4"), np.array([len(ids) for ids in made]))
 
-    def _look_up(self, chunk: str) -> tuple[bytes, bytes]:
-        """From two generations of a bounded cache, else worked out."""
-        found = self._old.get(chunk) or self._chunk(chunk)
-        if len(self._new) >= CACHE:
-            self._old, self._new = self._new, {}
-        self._new[chunk] = found
-        return found
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts one after the other, and where each text's begin and the last one's
+        end. A distinct word is worked out once."""
+        return self._known.ids_of_all(*runs.words(texts))
+
+    def decode_all(self, ids: np.ndarray, borders: np.ndarray) -> list[bytes]:
+        """What the ids of each text decode to, in UTF-8: vocabulary strings one after the other;
+        the file has no decoder, so by spaces."""
+        data, ends = runs.flat(self._strings.take(pa.array(ids)))
+        data, cuts = data.tobytes(), ends[borders].tolist()
+        return [data[a : max(a, b - 1)] for a, b in zip(cuts, cuts[1:])]
 
     def encode_decode(self, text: str | None) -> tuple[np.ndarray, bytes]:
         """Ids of a whole text and the UTF-8 text that they decode to."""
-        text = text or ""
-        chunks = _CHUNK(text) if _ODD_SEPARATORS(text) else text.split()
-        ids, decoded = [], []
-        for at in range(0, len(chunks), CHUNKS):
-            found = [self._new.get(c) or self._look_up(c) for c in chunks[at : at + CHUNKS]]
-            ids.append(b"".join([f[0] for f in found]))
-            decoded.append(b" ".join([f[1] for f in found]))
-        return np.frombuffer(b"".join(ids), dtype="<i4"), b" ".join(decoded)
-
-    def decode(self, ids) -> str:
-        """Vocabulary strings one after the other; the file has no decoder, so by spaces."""
-        return " ".join([self.tokens[i] for i in ids])
+        ids, borders = self.encode_all(pa.array([text], pa.string()))
+        return ids, self.decode_all(ids, borders)[0]
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -157,28 +155,25 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     ``tokenizer`` is the path of a tokenizer file that every machine has. Equal to the public
     tokenizers library without special tokens added. A null text is an empty one: no ids and
     an empty text. Repeated rows are encoded each; other columns are not read. No shuffle; a
-    task keeps the ids of at most 500,000 distinct words.
+    task keeps the ids of distinct words in ``KEPT`` bytes and works on ``BYTES`` of text at a time.
     """
 
     def run(batches):
         model = _loaded(tokenizer)
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                part = batch.slice(at, ROWS)
-                done = [model.encode_decode(t) for t in part.column("text").to_pylist()]
-                offsets = np.cumsum([0, *(len(d[0]) for d in done)], dtype=np.int32)
-                values = np.concatenate([d[0] for d in done])
+            for part in runs.slices(batch, BYTES):
+                ids, borders = model.encode_all(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())),
-                        pa.array([d[1] for d in done], pa.binary()).cast(pa.string()),
+                        pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(ids, pa.int32())),
+                        pa.array(model.decode_all(ids, borders), pa.binary()).cast(pa.string()),
                     ],
                     ["doc_id", "ids", "decoded"],
                 )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return narrow.mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded string")
 
 
 _MODELS: dict[str, WordBpe] = {}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,26 @@ def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which a cluster sets to fit its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+
+def tidy(run):
+    """``run`` over Arrow batches, after which a Python worker gives free memory back.
+
+    Spark's workers live on and serve the stages that follow; what their allocators keep of one
+    stage would lie beside what the next one needs.
+    """
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    """Return memory that nothing uses, Arrow's and the C library's, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from broadsheet.llm import runs
+from broadsheet.llm.common import tidy
 
 UNDETERMINED = "und"
 # Bounds of the model, whatever the size of the corpus.
@@ -145,7 +146,7 @@ def train(
                 yield pa.RecordBatch.from_pydict({"unit": pa.array(found, pa.string()), "lang": pa.array([lang] * len(found), pa.string())})
 
     counted = (
-        labelled.filter(drawn).select("text", "lang").mapInArrow(words, "unit string, lang string").groupBy("lang", "unit").agg(F.count("*").alias("n"))
+        labelled.filter(drawn).select("text", "lang").mapInArrow(tidy(words), "unit string, lang string").groupBy("lang", "unit").agg(F.count("*").alias("n"))
     )
 
     def grams(batches):
@@ -163,7 +164,7 @@ def train(
             )
 
     units = (
-        counted.select("unit", "lang", "n").mapInArrow(grams, "kind int, unit string, lang string, n long")
+        counted.select("unit", "lang", "n").mapInArrow(tidy(grams), "kind int, unit string, lang string, n long")
         .groupBy("kind", "lang", "unit").agg(F.sum("n").alias("n"))
     )
     most = F.when(F.col("kind") == 0, words_per_language).otherwise(grams_per_language)
@@ -196,4 +197,4 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
                     [*part.schema.names, *names],
                 )
 
-    return rows.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
+    return rows.mapInArrow(tidy(run), f"{schema}, `{names[0]}` string, `{names[1]}` double")

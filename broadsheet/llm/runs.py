@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Text that is cut at a time, in bytes, and runs whose dictionary is made at a time.
-BYTES, RUNS = 4 << 20, 1 << 20
+BYTES, RUNS = 4 << 20, 1 << 22
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about ``BYTES`` of ``text``; one text is never cut."""
+def slices(batch: pa.RecordBatch, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``size`` (or ``BYTES``) of ``text``; one text is never cut."""
     _, offsets = flat(batch.column("text"))
     at = 0
     while at < batch.num_rows:
-        end = int(np.searchsorted(offsets, offsets[at] + BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[at] + (size or BYTES), side="right")) - 1
         end = min(max(end, at + 1), batch.num_rows)
         yield batch.slice(at, end - at)
         at = end
@@ -74,12 +75,73 @@ def _at(offsets: np.ndarray, size: int) -> np.ndarray:
     return found
 
 
-def dictionaries(data: np.ndarray, borders: np.ndarray) -> Iterator[tuple[list[str], pa.Array]]:
-    """Distinct runs, and for every run which it is, ``RUNS`` of them at a time."""
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs without white space, as ``units`` gives them: what is between them is left out."""
+    data, offsets = flat(texts)
+    dark = ~white(data)
+    first = dark.copy()
+    first[1:] &= ~dark[:-1] | _at(offsets, len(data))[1:]
+    starts = np.flatnonzero(first)
+    before = np.concatenate(([0], np.cumsum(dark)))
+    return data[dark], np.append(before[starts], before[-1]), np.searchsorted(starts, offsets)
+
+
+def parts(data: np.ndarray, borders: np.ndarray) -> Iterator[pa.Array]:
+    """The runs as Arrow strings, ``RUNS`` of them at a time."""
     for at in range(0, len(borders) - 1, RUNS):
         own = borders[at : at + RUNS + 1]
         part = np.ascontiguousarray(data[own[0] : own[-1]])
         cut = np.ascontiguousarray(own - own[0])
-        runs = pa.LargeStringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), pa.py_buffer(part))
-        found = runs.dictionary_encode()
+        yield pa.LargeStringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), pa.py_buffer(part))
+
+
+def dictionaries(data: np.ndarray, borders: np.ndarray) -> Iterator[tuple[list[str], pa.Array]]:
+    """Distinct runs, and for every run which it is, ``RUNS`` of them at a time."""
+    for part in parts(data, borders):
+        found = part.dictionary_encode()
         yield found.dictionary.to_pylist(), found.indices
+
+
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Lists of unsigned 32-bit integers that lie one after the other."""
+    return pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes)))), pa.array(values, pa.uint32()))
+
+
+class Known:
+    """Ids of the distinct runs met so far, in two Arrow columns of bounded size.
+
+    A run takes some forty bytes there, where Python's own objects would take hundreds. ``learn``
+    gives a list of ids for each of some distinct runs.
+    """
+
+    def __init__(self, learn: Callable[[pa.Array], pa.Array], limit: int):
+        self.learn, self.limit = learn, limit
+        self.runs, self.ids = pa.array([], pa.large_string()), lists(np.zeros(0), np.zeros(0, np.int64))
+
+    def ids_of(self, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all the runs one after the other, and the number of each run's ids."""
+        found = pc.index_in(wanted, value_set=self.runs)
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        new = wanted.filter(found.is_null()).dictionary_encode()
+        if len(new):
+            at[at < 0] = len(self.runs) + new.indices.to_numpy()
+            self.ids = pa.concat_arrays([self.ids, self.learn(new.dictionary)])
+            self.runs = pa.concat_arrays([self.runs, new.dictionary])
+        if self.runs.nbytes + self.ids.nbytes > self.limit:  # only these runs stay
+            met = np.zeros(len(self.runs), dtype=bool)
+            met[at] = True
+            at = (np.cumsum(met) - 1)[at]
+            self.runs, self.ids = self.runs.filter(pa.array(met)), self.ids.filter(pa.array(met))
+        taken = self.ids.take(pa.array(at))
+        return taken.flatten().to_numpy(), np.diff(taken.offsets.to_numpy())
+
+    def ids_of_all(self, data: np.ndarray, borders: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts one after the other, and where each text's begin and the last one's end.
+
+        The arguments are what ``units`` or ``words`` give.
+        """
+        done = [self.ids_of(part) for part in parts(data, borders)]
+        if not done:
+            return np.zeros(0, "<u4"), np.zeros(len(first), np.int64)
+        ids, sizes = (np.concatenate(x) for x in zip(*done))
+        return ids, np.concatenate(([0], np.cumsum(sizes)))[first]

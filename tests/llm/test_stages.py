@@ -106,3 +106,22 @@ def test_a_passage_in_every_document(spark, docs):
     assert got == {0: 0, **dict.fromkeys(range(1, 6), 30)}
     kept = {r.doc_id: r.text for r in found.collect()}
     assert kept[3] == "3 3" and hashlib.md5(kept[0].encode()).digest() == substrings.digest_of(f"0 {words} 0".encode())
+
+
+def test_known_runs_stay_within_their_limit():
+    """Ids stay right when the table turns over; it took hundreds of bytes a run before."""
+    asked = []
+
+    def learn(new):
+        asked.extend(got := new.to_pylist())
+        return runs.lists(np.array([len(r) + k for r in got for k in range(2)]), np.full(len(got), 2))
+
+    known = runs.Known(learn, 3000)
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        texts = pa.array([" ".join("x" * int(n) for n in rng.integers(1, 60, 30)), None, "", " \u3000 x "], pa.string())
+        ids, borders = known.ids_of_all(*runs.words(texts))
+        want = [[len(w) + k for w in (t or "").split() for k in range(2)] for t in texts.to_pylist()]
+        assert [ids[a:b].tolist() for a, b in zip(borders, borders[1:])] == want
+        assert known.runs.nbytes + known.ids.nbytes <= 3000
+    assert 59 < len(asked) < 40 * 30
