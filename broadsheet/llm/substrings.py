@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T, Window
 
 from broadsheet.llm import runs
-from broadsheet.llm.common import written
+from broadsheet.llm.common import tidy, written
 from broadsheet.llm.fmindex import FmIndex
 
 WINDOW = 13
@@ -20,6 +20,8 @@ ANCHOR = 6
 HOT = 10_000
 # Symbols of a shard's index.
 SHARD = 400_000
+# Text whose windows are worked out at a time.
+BYTES = 1 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -32,20 +34,96 @@ def digest_of(text: bytes | None) -> bytes:
     return hashlib.md5(text or b"").digest()
 
 
-def window_anchors(words: list[bytes], window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all groups of ``anchor`` words, and for every window the place of its anchor: the
-    leftmost least hash in it. Equal windows have equal anchors wherever they stand."""
-    digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(w) for w in words]), dtype=">u8").astype(np.uint64)
-    groups = np.zeros(len(words) - anchor + 1, dtype=np.uint64)
+class Windows:
+    """Words of some texts and the windows over them, as arrays over all the texts.
+
+    A window's anchor is the leftmost least hash of the word groups in it, so equal windows have
+    equal anchors wherever they stand. Windows next to each other with one anchor are a run.
+    """
+
+    def __init__(self, texts: pa.Array, window: int, anchor: int):
+        data, offsets = runs.flat(texts)
+        self.window = window
+        blank = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+        inner = np.ones(len(data) + 1, dtype=bool)  # no text begins there
+        inner[offsets] = False
+        first = ~blank
+        first[1:] &= blank[:-1] | ~inner[1:-1]
+        last = ~blank
+        last[:-1] &= blank[1:] | ~inner[1:-1]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        #: The number of words before each text, and in all.
+        self.before = np.searchsorted(starts, offsets)
+        left = np.repeat(self.before[1:], np.diff(self.before)) - np.arange(len(starts))
+        whole = np.flatnonzero(left >= window)  # where windows start
+        self.groups = np.zeros(0, np.int64)
+        self.starts = self.ends = self.places = self.owners = np.zeros(0, np.int64)
+        if not len(whole):
+            return
+        groups = _group_hashes(data, starts, ends, anchor)
+        self.groups = groups.view(np.int64)
+        places = _leftmost_least(groups, window - anchor + 1)[whole]
+        new = np.concatenate(([True], places[1:] != places[:-1]))
+        #: Of every run the first and last window, the place of the anchor and the text.
+        self.starts, self.ends = whole[new], whole[np.append(new[1:], True)]
+        self.places = places[new]
+        self.owners = np.searchsorted(self.before, self.starts, side="right") - 1
+        # Words joined by one space, and where each begins and ends there.
+        joined, kept = data.copy(), ~blank
+        spaces = starts[inner[starts]] - 1
+        joined[spaces], kept[spaces] = 0x20, True
+        at = np.cumsum(kept)
+        self._joined, self._starts, self._ends = joined[kept].tobytes(), at[starts] - 1, at[ends - 1]
+
+    def anchors(self) -> np.ndarray:
+        """The anchor of every run."""
+        return self.groups[self.places]
+
+    def words(self, start: int, end: int) -> bytes:
+        """The words of the windows from one to another, joined by one space."""
+        return self._joined[self._starts[start] : self._ends[end + self.window - 1]]
+
+
+def _group_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, anchor: int) -> np.ndarray:
+    """Hashes of all groups of ``anchor`` words, by the first and last 8 bytes and the length of a
+    word; one longer than 16 bytes is hashed whole."""
+    eight = _eights(data)
+    size = ends - starts
+    mask = (np.uint64(1) << (8 * np.minimum(size, 7)).astype(np.uint64)) - np.uint64(1)
+    head = np.where(size >= 8, eight[starts], eight[starts] & mask)
+    tail = np.where(size > 8, eight[np.maximum(ends - 8, starts)], np.uint64(0))
+    hashes = (head * _MIX[0]) ^ (tail + size.astype(np.uint64)) * _MIX[1]
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        whole, cuts = data.tobytes(), zip(starts[long].tolist(), ends[long].tolist())
+        hashes[long] = [xxhash.xxh64_intdigest(whole[a:b]) for a, b in cuts]
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= _MIX[1]
+    hashes ^= hashes >> np.uint64(29)
+    groups = np.zeros(len(starts) - anchor + 1, dtype=np.uint64)
     for j in range(anchor):
         groups = groups * _MIX[0] + hashes[j : len(groups) + j]
     groups ^= groups >> np.uint64(31)
     groups *= _MIX[1]
     groups ^= groups >> np.uint64(29)
-    inside = window - anchor + 1
-    views = np.lib.stride_tricks.sliding_window_view(groups, inside)
-    return groups.view(np.int64), np.arange(len(views)) + views.argmin(axis=1)
+    return groups
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one integer."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """For every stretch of ``width`` values the place of the leftmost least one."""
+    places, covered = np.arange(len(values)), 1
+    while covered < width:
+        step = min(covered, width - covered)
+        left, right = places[:-step], places[step:]
+        places = np.where(values[left] <= values[right], left, right)
+        covered += step
+    return places
 
 
 _ANCHORS = "doc_id long, short long, anchor long, known boolean"
@@ -61,22 +139,25 @@ def _anchors(batches, window: int, anchor: int):
     """
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        found, owner, short, seen = [], [], np.zeros(len(ids), dtype=np.int64), set()
-        for i, text in enumerate(batch.column("text").cast(pa.binary())):
-            text = text.as_py()
-            whole = digest_of(text)
-            short[i] = int.from_bytes(whole[:8], "little", signed=True)
-            words = words_of(text)
-            if len(words) >= window and whole not in seen:
+        found, owner, short, seen, at = [], [], np.zeros(len(ids), dtype=np.int64), set(), 0
+        for part in runs.slices(batch, BYTES):
+            fresh = np.zeros(len(part), dtype=bool)
+            for i, text in enumerate(part.column("text").cast(pa.binary())):
+                whole = digest_of(text.as_py())
+                short[at + i] = int.from_bytes(whole[:8], "little", signed=True)
+                fresh[i] = whole not in seen
                 seen.add(whole)
-                groups, places = window_anchors(words, window, anchor)
-                values = np.unique(groups[np.unique(places)])
-                found.append(values)
-                owner.append(np.full(len(values), i, dtype=np.int64))
-        if not found:
+            windows = Windows(part.column("text"), window, anchor)
+            rows = np.flatnonzero(fresh[windows.owners])
+            found.append(windows.anchors()[rows])
+            owner.append(at + windows.owners[rows])
+            at += len(part)
+        if not sum(map(len, found)):
             continue
         values, owners = np.concatenate(found), np.concatenate(owner)
         order = np.lexsort((owners, values))
+        again = (values[order][1:] == values[order][:-1]) & (owners[order][1:] == owners[order][:-1])
+        order = order[np.concatenate(([True], ~again))]
         new = np.concatenate(([True], values[order][1:] != values[order][:-1]))
         end = np.concatenate((new[1:], [True]))
         known, witness = np.zeros(len(values), bool), np.zeros(len(values), bool)
@@ -97,33 +178,47 @@ _SEGMENTS = "route long, key long, words string, first long, last long"
 def _segments(batch: pa.RecordBatch, window: int, anchor: int):
     """Runs of windows with one repeated anchor; windows of a hot anchor one by one.
 
-    For every few megabytes of text the rows (first, nth, at, route, words): the document's first
+    For every ``BYTES`` of text the rows (first, nth, at, route, words): the document's first
     id and text number, the first word, and where the segment is dealt to.
     """
-    for part in runs.slices(batch):
+    for part in runs.slices(batch, BYTES):
+        # The entry of each text, and the anchors of its entry.
+        entries = part.column("entries")
+        entry, own = entries.flatten(), np.diff(entries.offsets.to_numpy())
+        holder = np.repeat(np.arange(len(part)), own)
+        digests = [digest_of(text.as_py()) for text in part.column("text").cast(pa.binary())]
+        wholes = entry.field("whole").to_pylist()
+        matching = np.array([whole == digests[i] for whole, i in zip(wholes, holder.tolist())], dtype=bool)
+        first, nth = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+        first[holder[matching]] = entry.field("first").to_numpy()[matching]
+        nth[holder[matching]] = entry.field("nth").to_numpy()[matching]
+        lists = entry.field("anchors")
+        marked, own = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        wanted, hot = (marked.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "hot"))
+        theirs = np.repeat(np.where(matching, holder, -1), own)
+        # A text and an anchor as one number.
+        known = np.unique(wanted)
+        if not len(known):
+            continue
+        windows = Windows(part.column("text"), window, anchor)
+        values = windows.anchors()
+        number = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        pairs = np.where(known[number] == values, windows.owners * len(known) + number, -1)
+        own = theirs * len(known) + np.searchsorted(known, wanted)
+        chosen = np.flatnonzero((pairs >= 0) & np.isin(pairs, own[theirs >= 0]))
+        is_hot = np.isin(pairs[chosen], own[(theirs >= 0) & hot])
         rows = []
-        for text, entries in zip(part.column("text").cast(pa.binary()), part.column("entries")):
-            text, entries = text.as_py(), entries.as_py()
-            whole = digest_of(text)
-            entry = next((e for e in entries if e["whole"] == whole), None)
-            words = words_of(text)
-            if entry is None or len(words) < window:
+        owners = windows.owners[chosen]
+        begin, starts, ends = windows.before[owners].tolist(), windows.starts[chosen].tolist(), windows.ends[chosen].tolist()
+        for f, n, base, s, e, value, each in zip(
+            first[owners].tolist(), nth[owners].tolist(), begin, starts, ends, values[chosen].tolist(), is_hot.tolist()
+        ):
+            if not each:
+                rows.append((f, n, s - base, value, windows.words(s, e)))
                 continue
-            first, nth = entry["first"], entry["nth"]
-            groups, places = window_anchors(words, window, anchor)
-            wanted = np.array(sorted(a["anchor"] for a in entry["anchors"]), dtype=np.int64)
-            hot = {a["anchor"] for a in entry["anchors"] if a["hot"]}
-            chosen = np.isin(groups[places], wanted)
-            starts = np.flatnonzero(chosen & np.concatenate(([True], places[1:] != places[:-1])))
-            ends = np.flatnonzero(chosen & np.concatenate((places[1:] != places[:-1], [True])))
-            for s, e in zip(starts.tolist(), ends.tolist()):
-                value = int(groups[places[s]])
-                if value not in hot:
-                    rows.append((first, nth, s, value, b" ".join(words[s : e + window])))
-                    continue
-                for i in range(s, e + 1):
-                    piece = b" ".join(words[i : i + window])
-                    rows.append((first, nth, i, _signed(xxhash.xxh64_intdigest(piece, 7)), piece))
+            for i in range(s, e + 1):
+                piece = windows.words(i, i)
+                rows.append((f, n, i - base, _signed(xxhash.xxh64_intdigest(piece, 7)), piece))
         if rows:
             yield rows
 
@@ -289,7 +384,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, joined: bool = True) -> Data
     )
 
     # Anchors in two different texts. At most two rows per anchor and batch come together.
-    anchors = rows.select("doc_id", "text").mapInArrow(lambda b: _anchors(b, window, ANCHOR), _ANCHORS)
+    anchors = rows.select("doc_id", "text").mapInArrow(tidy(lambda b: _anchors(b, window, ANCHOR)), _ANCHORS)
     route = F.when(F.col("known"), F.xxhash64("doc_id", "anchor")).otherwise(F.col("anchor"))
     # The key is a column of its own, so that both windows share one shuffle.
     together = Window.partitionBy("route")
@@ -307,11 +402,10 @@ def repeated(docs: DataFrame, window: int = WINDOW, joined: bool = True) -> Data
         .groupBy("doc_id").agg(F.collect_list(F.struct("whole", "first", "nth", "anchors")).alias("entries"))
     )
     candidates = rows.join(entries, "doc_id")
-    segments = candidates.mapInArrow(lambda b: _segment_texts(b, window, ANCHOR), _SEGMENTS)
-    minima = segments.repartition("route").sortWithinPartitions("route", "words").mapInArrow(
-        lambda b: _shards(b, window), _MINIMA
+    segments = candidates.mapInArrow(tidy(lambda b: _segment_texts(b, window, ANCHOR)), _SEGMENTS)
+    minima = segments.repartition("route").sortWithinPartitions("route", "words").mapInArrow(tidy(lambda b: _shards(b, window)), _MINIMA
     )
-    places = candidates.mapInArrow(lambda b: _segment_places(b, window, ANCHOR), _PLACES)
+    places = candidates.mapInArrow(tidy(lambda b: _segment_places(b, window, ANCHOR)), _PLACES)
     earlier = F.expr("filter(transform(least, (m, i) -> if(m < first, at + i, null)), x -> x is not null)")
     starts = (
         places.join(minima, ["route", "key"]).select("first", "nth", earlier.alias("starts")).filter(F.size("starts") > 0)
@@ -333,7 +427,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, joined: bool = True) -> Data
     judged = rows.join(marks, "doc_id", "left").unionByName(
         every.filter(F.col("doc_id").isNull()).withColumn("marks", F.lit(None).cast(marks.schema["marks"].dataType))
     )
-    return judged.mapInArrow(lambda b: _cut(b, window, joined), schema)
+    return judged.mapInArrow(tidy(lambda b: _cut(b, window, joined)), schema)
 
 
 def drop_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:

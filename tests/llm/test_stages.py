@@ -125,3 +125,36 @@ def test_known_runs_stay_within_their_limit():
         assert [ids[a:b].tolist() for a, b in zip(borders, borders[1:])] == want
         assert known.runs.nbytes + known.ids.nbytes <= 3000
     assert 59 < len(asked) < 40 * 30
+
+
+def test_windows_of_many_texts_are_those_of_each():
+    """Runs, anchors and joined words do not depend on the texts beside, on white space or on slices."""
+    rng = np.random.default_rng(3)
+    texts = ["", None, " \t", "a " * 40]
+    for _ in range(60):
+        words = ["w" * int(n) + str(n % 7) for n in rng.integers(0, 24, int(rng.integers(0, 60)))]
+        texts.append(rng.choice(["", " ", "\n"]) + "".join(w + rng.choice([" ", "\r\n", "  ", "\x0b"]) for w in words) + rng.choice(["", "é"]))
+    every = substrings.Windows(pa.array(texts, pa.string()), 13, 6)
+    got = {}
+    for owner, start, end, anchor in zip(every.owners.tolist(), every.starts.tolist(), every.ends.tolist(), every.anchors().tolist()):
+        base = int(every.before[owner])
+        for i in range(start, end + 1):
+            got[owner, i - base] = (anchor, every.words(i, i))
+    by_words = {}
+    for owner, text in enumerate(texts):
+        words = (text or "").encode().split()
+        alone = substrings.Windows(pa.array(["x y", text], pa.string()), 13, 6)
+        assert alone.before[2] - alone.before[1] == len(words)
+        for i in range(max(0, len(words) - 12)):
+            anchor, piece = got.pop((owner, i))
+            assert piece == b" ".join(words[i : i + 13])
+            assert by_words.setdefault(piece, anchor) == anchor
+            assert anchor in alone.anchors()
+    assert not got
+
+
+def test_the_leftmost_least_value_of_every_stretch():
+    values = np.random.default_rng(5).integers(0, 5, 300).astype(np.uint64)
+    for width in (1, 2, 3, 8, 13):
+        views = np.lib.stride_tricks.sliding_window_view(values, width)
+        assert (substrings._leftmost_least(values, width) == np.arange(len(views)) + views.argmin(axis=1)).all()
