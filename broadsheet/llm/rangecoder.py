@@ -19,6 +19,8 @@ LANES = 8192
 STEPS = 128
 _HASHED = 1 << 18
 _GATE_BITS, _ID_BITS = 12, 20
+# Places of the ids' range that are looked up together.
+_STRETCH_BITS = 3
 _U = np.uint64
 _TOP, _NARROW = _U(1 << 48), _U((1 << 40) - 1)
 _SIXTEEN, _FORTY_EIGHT = _U(16), _U(48)
@@ -62,6 +64,20 @@ class Model:
         self.id_size = size.astype(_U)
         self.id_from = (self.id_ends - size).astype(_U)
 
+    def index(self) -> None:
+        """For every stretch of the ids' range the id that its start belongs to."""
+        low = -(-self.id_ends[:-1] >> _STRETCH_BITS)
+        self.stretches = np.cumsum(np.bincount(low, minlength=(1 << _ID_BITS - _STRETCH_BITS) + 1))
+
+    def holder(self, slot: np.ndarray) -> np.ndarray:
+        """The id whose part of the range each place is in; the last one's ends the range."""
+        found, last = self.stretches.take(slot >> _STRETCH_BITS), self.size - 1
+        late = np.flatnonzero((self.id_ends.take(found) <= slot) & (found < last))
+        while len(late):
+            found[late] += 1
+            late = late[(self.id_ends.take(found[late]) <= slot[late]) & (found[late] < last)]
+        return found
+
     def choose(self, ids: np.ndarray) -> np.ndarray:
         """0: order 2 has the id, 1: order 1 has it, 2: neither."""
         choice = np.full(len(ids), 2, dtype=np.int32)
@@ -197,7 +213,7 @@ def decode_block(head: bytes, payload: bytes) -> np.ndarray:
             code[at] = code[at] << _SIXTEEN | words[where]
             following[at] = where + 1
 
-    laid = np.empty((steps, lanes), dtype=np.int32)
+    laid, shared = np.empty((steps, lanes), dtype=np.int32), None
     one = two = np.zeros(lanes, dtype=np.int64)
     for t in range(steps):
         model.predict(one, two)
@@ -212,8 +228,10 @@ def decode_block(head: bytes, payload: bytes) -> np.ndarray:
         now = np.where(choice == 0, model.said[1], model.said[0])
         rest = np.flatnonzero(choice == 2)
         slot = (code[rest] - interval.low[rest]) // (interval.width[rest] >> _U(_ID_BITS))
-        found = np.searchsorted(model.id_ends, slot.astype(np.int64), side="right")
-        found = np.minimum(found, vocabulary - 1)
+        if shared is not model.id_ends:
+            model.index()
+            shared = model.id_ends
+        found = model.holder(slot.astype(np.int64))
         now[rest] = found
         interval.narrow(rest, model.id_from.take(found), model.id_size.take(found), _ID_BITS)
         take()

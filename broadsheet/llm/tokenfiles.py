@@ -13,17 +13,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, Window
 
 from broadsheet.llm import runs
-from broadsheet.llm.common import file_system, partitions, scratch, written
+from broadsheet.llm.common import file_system, partitions, scratch, tidy, written
 from broadsheet.llm.rangecoder import BLOCK, HEAD_BYTES, decode_block, encode_block, read_head
 
 END_ID = 0
-# Distinct words whose ids a worker keeps; it may keep those of the generation before as well.
-CACHE = 600_000
+# Bytes of distinct words and their ids that a worker keeps.
+KEPT = 48 << 20
+# Text whose words are looked up at a time, in bytes, and words that are encoded as one text.
+BYTES = 8 << 20
+TOGETHER = 256
 _FOOT = struct.Struct("<QQI4s")
 _FOOT_MAGIC = b"TIDX"
-# White space as the tokenizer files mean it. A word with the white space before it is encoded
-# alike wherever it stands: no piece of the tokenizer reaches across the end of a word.
-_BLANK = frozenset(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 class LibraryTokenizer:
@@ -42,60 +42,34 @@ class LibraryTokenizer:
             self._bytes[i] = len(token)
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
             self._bytes[i] = len(token.content.encode())
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-
-    def _learn(self, units: set[str]) -> None:
-        if len(self._new) + len(units) > CACHE:
-            self._old, self._new = self._new, {}
-        unknown = []
-        for unit in units:
-            found = self._old.get(unit)
-            if found is None:
-                unknown.append(unit)
-            else:
-                self._new[unit] = found
-        chained, alone = [], []
-        for unit in unknown:
-            (chained if unit[0] in _BLANK and unit[-1] not in _BLANK else alone).append(unit)
-        texts = ["".join(chained), *alone]
-        made = [np.array(m.ids, "<u4") for m in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        self._new.update(zip(chained, self._apart(made[0], chained)))
-        self._new.update((unit, ids.tobytes()) for unit, ids in zip(alone, made[1:]))
-
-    def _apart(self, ids: np.ndarray, units: list[str]) -> list[bytes]:
-        """Ids of each of the units that were encoded as one text. Units that begin with white
-        space and end a word are encoded alike in a row; the bytes of ids show the borders."""
-        ends, borders = np.cumsum(self._bytes[ids]), np.cumsum([len(u.encode()) for u in units], dtype=np.int64)
-        cuts = np.searchsorted(ends, borders)
-        if len(units) and (cuts[-1] + 1 != len(ids) or (ends[cuts] != borders).any()):
+        self._known = runs.Known(self._learn, KEPT)
+
+    def _learn(self, units: pa.Array) -> pa.Array:
+        """Ids of each of the units. Those that begin with white space and end a word are encoded
+        alike wherever they stand, for no piece of the tokenizer reaches across the end of a word:
+        many are encoded as one text, and the bytes of ids show the borders."""
+        data, borders = runs.flat(units)
+        blank = runs.white(data)
+        chained = blank[borders[:-1]] & ~blank[borders[1:] - 1]
+        data, borders = runs.flat(units.filter(pa.array(chained)))
+        data, cuts = data.tobytes(), [*borders[:-1:TOGETHER].tolist(), int(borders[-1])]
+        texts = [data[a:b].decode() for a, b in zip(cuts, cuts[1:])]
+        alone = units.filter(pa.array(~chained)).to_pylist()
+        made = [np.array(m.ids, "<u4") for m in self.tokenizer.encode_batch_fast(texts + alone, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *made[: len(texts)]])
+        ends = np.cumsum(self._bytes[ids])
+        cuts = np.searchsorted(ends, borders[1:])
+        if len(cuts) and (cuts[-1] + 1 != len(ids) or (ends[cuts] != borders[1:]).any()):
             raise ValueError("an id reaches across the end of a word")
-        packed, cuts = ids.tobytes(), (4 * cuts + 4).tolist()
-        return [packed[a:b] for a, b in zip([0, *cuts], cuts)]
+        made = made[len(texts) :]
+        sizes = np.concatenate((np.diff(cuts, prepend=-1), [len(m) for m in made])).astype(np.int64)
+        order = np.concatenate((np.flatnonzero(chained), np.flatnonzero(~chained)))
+        return runs.lists(np.concatenate([ids, *made]), sizes).take(pa.array(np.argsort(order)))
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts one after the other, as unsigned 32-bit integers, and where each
-        text's ids begin and the last one's end.
-
-        The words of all texts are told apart once; a distinct one is looked up, the others are
-        gathered by number.
-        """
-        data, borders, first = runs.units(texts)
-        parts, sizes = [], []
-        for distinct, which in runs.dictionaries(data, borders):
-            missing = {u for u in distinct if u not in self._new}
-            if missing:
-                self._learn(missing)
-                if any(u not in self._new for u in distinct):  # the cache has just turned over
-                    self._learn(set(distinct).difference(self._new))
-            packed = [self._new[u] for u in distinct]
-            ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
-            known = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<u4")))
-            taken = known.take(which)
-            parts.append(taken.flatten().to_numpy())
-            sizes.append(np.diff(ends)[which.to_numpy()])
-        before = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
-        return (np.concatenate(parts) if parts else np.zeros(0, "<u4")), before[first]
+        text's ids begin and the last one's end. A distinct word is encoded once."""
+        return self._known.ids_of_all(*runs.units(texts))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of one whole text."""
@@ -210,7 +184,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         writer, uri, model = None, f"{folder}/ids-{uuid.uuid4().hex}.tids", _tokenizer(tokenizer)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for part in runs.slices(batch):
+            for part in runs.slices(batch, BYTES):
                 writer = writer or FileWriter(uri, max(model.size, end_id + 1))
                 ids, borders = model.encode_all(part.column("text"))
                 borders = borders.tolist()
@@ -225,7 +199,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             )
 
     _make_folder(folder)
-    return written(ordered.mapInArrow(run, "uri string, part int, documents long, ids long"), "token-files")
+    return written(ordered.mapInArrow(tidy(run), "uri string, part int, documents long, ids long"), "token-files")
 
 
 def _make_folder(folder: str) -> None:
@@ -257,7 +231,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     yield _rows(rows)
 
     spread = placed.repartitionByRange(max(partitions(files.sparkSession), 1), "part")
-    return spread.mapInArrow(run, "doc_id long, start long, ids binary")
+    return spread.mapInArrow(tidy(run), "doc_id long, start long, ids binary")
 
 
 def _rows(rows) -> pa.RecordBatch:

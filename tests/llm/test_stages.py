@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from broadsheet.llm import language, mixing, runs, simhash, substrings
+from broadsheet.llm.rangecoder import Model
 from broadsheet.llm.common import importable
 
 TEXTS = [
@@ -127,6 +128,16 @@ def test_known_runs_stay_within_their_limit():
     assert 59 < len(asked) < 40 * 30
 
 
+def test_a_place_is_found_in_the_ids_range():
+    model = Model(1000)
+    model.counts[3] += 100_000
+    model._share()
+    model.index()
+    slots = np.concatenate((np.arange(0, 1 << 20, 97), model.id_ends - 1, [(1 << 20) - 1]))
+    want = np.minimum(np.searchsorted(model.id_ends, slots, side="right"), 999)
+    assert (model.holder(slots) == want).all()
+
+
 def test_windows_of_many_texts_are_those_of_each():
     """Runs, anchors and joined words do not depend on the texts beside, on white space or on slices."""
     rng = np.random.default_rng(3)
