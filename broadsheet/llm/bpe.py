@@ -21,7 +21,7 @@ _PIECE = regex.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d|\\p{{L}}+|\\p{{N}}|[^{WHITE}\\p{{L}}\\p{{N}}]+"
 ).findall
 # Bytes of distinct words and their ids that a worker keeps, and text that is encoded at a time.
-KEPT, BYTES = 40 << 20, 4 << 20
+KEPT, BYTES = 24 << 20, 2 << 20
 
 
 def byte_characters() -> list[str]:
