@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,9 @@ import pyarrow.compute as pc
 
 # Text that is cut at a time, in bytes, and runs whose dictionary is made at a time.
 BYTES, RUNS = 4 << 20, 1 << 22
+# Bytes of strings that are hashed at a time, and the odd numbers of the hash.
+PIECE = 1 << 18
+_FACTOR, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
 def slices(batch: pa.RecordBatch, size: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -107,33 +111,86 @@ def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes)))), pa.array(values, pa.uint32()))
 
 
+def keys(distinct: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string: its bytes times powers of an odd number, summed, for ``PIECE``
+    bytes at a time. A longer string has its checksum."""
+    data, borders = flat(distinct)
+    found, at = np.empty(len(distinct), np.uint64), 0
+    while at < len(found):
+        end = max(int(np.searchsorted(borders, borders[at] + PIECE, side="right")) - 1, at + 1)
+        part, own = data[borders[at] : borders[end]], borders[at : end + 1] - borders[at]
+        if len(part) > PIECE:
+            found[at] = zlib.crc32(part)
+        else:
+            sizes = np.diff(own)
+            powers = np.full(int(sizes.max()), _FACTOR, np.uint64).cumprod()
+            sums = powers.take(np.arange(len(part)) - np.repeat(own[:-1], sizes)) if len(part) else powers
+            sums *= part + np.uint64(1)
+            sums = np.concatenate((np.zeros(1, np.uint64), sums.cumsum()))
+            mixed = (sums[own[1:]] - sums[own[:-1]]) * _MIX
+            found[at:end] = mixed ^ mixed >> np.uint64(32)
+        at = end
+    return found
+
+
 class Known:
     """Ids of the distinct runs met so far, in two Arrow columns of bounded size.
 
-    A run takes some forty bytes there, where Python's own objects would take hundreds. ``learn``
+    A run takes some forty bytes there, where Python's own objects would take hundreds, and twelve
+    more in a sorted column of hashes that stays from call to call. Equal hashes are not trusted: the
+    runs are compared, and one that shares its hash with another is learnt again. ``learn``
     gives a list of ids for each of some distinct runs.
     """
 
     def __init__(self, learn: Callable[[pa.Array], pa.Array], limit: int):
         self.learn, self.limit = learn, limit
         self.runs, self.ids = pa.array([], pa.large_string()), lists(np.zeros(0), np.zeros(0, np.int64))
+        # Hashes in order, and where each one's run is.
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def _find(self, distinct: pa.Array) -> np.ndarray:
+        """Where each of the distinct runs is, after learning those that are not there."""
+        wanted = keys(distinct)
+        order = np.argsort(wanted)
+        spots = np.empty(len(wanted), np.int64)
+        spots[order] = np.searchsorted(self.keys, wanted[order])
+        at = np.full(len(wanted), -1, np.int64)
+        there = np.flatnonzero(spots < len(self.keys))
+        there = there[self.keys[spots[there]] == wanted[there]]
+        places = self.places[spots[there]]
+        same = pc.equal(self.runs.take(pa.array(places)), distinct.take(pa.array(there))).to_numpy(zero_copy_only=False)
+        at[there[same]] = places[same]
+        fresh = at < 0
+        if fresh.any():
+            new = distinct.filter(pa.array(fresh))
+            at[fresh] = np.arange(len(self.runs), len(self.runs) + len(new))
+            self.ids = pa.concat_arrays([self.ids, self.learn(new)])
+            self.runs = pa.concat_arrays([self.runs, new])
+            order = order[fresh[order]]
+            self.keys, self.places = (
+                np.insert(old, spots[order], more[order].astype(old.dtype))
+                for old, more in ((self.keys, wanted), (self.places, at))
+            )
+        return at
 
     def ids_of(self, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the runs one after the other, and the number of each run's ids."""
-        found = pc.index_in(wanted, value_set=self.runs)
-        at = found.fill_null(-1).to_numpy().astype(np.int64)
-        new = wanted.filter(found.is_null()).dictionary_encode()
-        if len(new):
-            at[at < 0] = len(self.runs) + new.indices.to_numpy()
-            self.ids = pa.concat_arrays([self.ids, self.learn(new.dictionary)])
-            self.runs = pa.concat_arrays([self.runs, new.dictionary])
-        if self.runs.nbytes + self.ids.nbytes > self.limit:  # only these runs stay
-            met = np.zeros(len(self.runs), dtype=bool)
-            met[at] = True
-            at = (np.cumsum(met) - 1)[at]
-            self.runs, self.ids = self.runs.filter(pa.array(met)), self.ids.filter(pa.array(met))
+        wanted = wanted.dictionary_encode()
+        at = self._find(wanted.dictionary)
         taken = self.ids.take(pa.array(at))
-        return taken.flatten().to_numpy(), np.diff(taken.offsets.to_numpy())
+        if self.runs.nbytes + self.ids.nbytes > self.limit:  # only these runs stay
+            self.runs, self.ids = self.runs.take(pa.array(at)), taken
+            stay = np.full(int(self.places.max()) + 1, -1, np.int32)
+            stay[at] = np.arange(len(at))
+            places = stay[self.places]
+            self.keys, self.places = self.keys[places >= 0], places[places >= 0]
+        each = wanted.indices.to_numpy()
+        borders, values = taken.offsets.to_numpy(), taken.values.to_numpy()
+        sizes = np.diff(borders)[each]
+        before = borders[:-1][each] - sizes.cumsum() + sizes
+        spots = np.repeat(before, sizes)
+        spots += np.arange(len(spots))
+        return values.take(spots), sizes
 
     def ids_of_all(self, data: np.ndarray, borders: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts one after the other, and where each text's begin and the last one's end.

@@ -1,6 +1,7 @@
 """Columns of any name and type, null ids and odd texts on every stage of the pipeline."""
 
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from broadsheet.llm import language, mixing, runs, simhash, substrings
-from broadsheet.llm.rangecoder import Model
+from broadsheet.llm.rangecoder import Model, encode_block
 from broadsheet.llm.common import importable
 
 TEXTS = [
@@ -128,6 +129,44 @@ def test_known_runs_stay_within_their_limit():
     assert 59 < len(asked) < 40 * 30
 
 
+def test_known_runs_are_not_gone_through_again():
+    """Looking a few runs up took as long as all known ones before."""
+    known = runs.Known(lambda new: runs.lists(np.arange(len(new)), np.ones(len(new), np.int64)), 1 << 30)
+    all_runs = pa.array([f"run{i}" for i in range(200_000)], pa.large_string())
+    assert (known.ids_of(all_runs)[0] == np.arange(200_000)).all()
+    began = time.process_time()
+    pa.concat_arrays([all_runs] * 10).dictionary_encode()
+    ended = time.process_time()
+    for i in range(0, 200_000, 2_000):
+        assert known.ids_of(all_runs.slice(i, 2))[0].tolist() == [i, i + 1]
+    assert time.process_time() - ended < ended - began
+
+
+def test_runs_with_one_hash_are_told_apart(monkeypatch):
+    """And strings have the same hash whatever stands beside them."""
+    monkeypatch.setattr(runs, "PIECE", 50)
+    strings = ["", "a", "é", "x" * 49, "x" * 50, "x" * 51, "x" * 120, *(f"w{i}" for i in range(40)), "y" * 200]
+    each = [int(runs.keys(pa.array([s], pa.large_string()))[0]) for s in strings]
+    assert runs.keys(pa.array(strings, pa.large_string())).tolist() == each and len(set(each)) == len(strings)
+
+    monkeypatch.setattr(runs, "keys", lambda distinct: np.array([len(s) % 3 for s in distinct.to_pylist()], np.uint64))
+    known = runs.Known(lambda new: pa.array([list(s.encode()) for s in new.to_pylist()], pa.large_list(pa.uint32())), 2000)
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        wanted = [strings[i] for i in rng.integers(0, len(strings), 20)]
+        ids, sizes = known.ids_of(pa.array(wanted, pa.large_string()))
+        assert bytes(ids.tolist()) == "".join(wanted).encode()
+        assert sizes.tolist() == [len(s.encode()) for s in wanted]
+
+
+def test_blocks_are_the_bytes_they_were():
+    mixed = (np.arange(300_000) * 2654435761 >> 9) % 7919 ** 2 % 5000
+    ids = np.concatenate((mixed, np.tile(np.arange(700), 100), np.zeros(5000, int))).astype("<u4")
+    small = encode_block(ids[:1], 5000) + encode_block(ids[:1000], 1 << 19) + encode_block(ids[-100:], 1)
+    found = [hashlib.sha256(b).hexdigest()[:16] for b in (encode_block(ids, 5000), small)]
+    assert found == ["6a719cb25ef61909", "54b225bc59e956b7"]
+
+
 def test_a_place_is_found_in_the_ids_range():
     model = Model(1000)
     model.counts[3] += 100_000
